@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, repair
+from . import decontaminate, exact_dedup, packing, repair
 from .common import table
 
 
+OP2 = """
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) as h from documents)
+select doc_id, min(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size,
+       doc_id = min(doc_id) over (partition by h) as kept, h as text_sha256
+from d
+"""
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
 def op9_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = repair.write_shards(table(spark, sf_dir, "documents"))
     return repair.read_shards(manifest).drop("ids")
@@ -20,8 +36,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_repair, op10_packing)}
+    return {f.__name__: f for f in (op2_exact_dedup, op5_decontaminate, op9_repair, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_dedup": OP2}
