@@ -44,10 +44,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocab: str, end_id: i
         for batch in batches:
             offsets, _ = binary(batch.column(1))
             for at, to in blocks(offsets):
-                ids, counts = tokenizer.encode(texts_of(batch.column(1), at, to))
-                ends = np.cumsum(counts)
-                whole = np.insert(ids, ends, end_id)  # after each document
-                counts = counts + 1
+                whole, counts = tokenizer.encode(texts_of(batch.column(1), at, to), end_id)
                 cut = np.concatenate([[0], np.cumsum(counts)])
                 data = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(whole.astype("<u4"))])
                 yield pa.record_batch([pa.array(np.full(to - at, part)), batch.column(0).slice(at, to - at), pa.array(total + cut[:-1]), pa.array(counts), data], ["part", "doc_id", "start_in_part", "n_tokens", "ids"])

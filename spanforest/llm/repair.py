@@ -36,7 +36,7 @@ MAGIC = b"RPG1"
 #: Ids in a shard before a new one begins: bounds a task's memory.
 SHARD_TOKENS = 1 << 21
 #: Rounds of replacement, and how often a pair must occur to be replaced.
-ROUNDS, LEAST = 4, 8
+ROUNDS, LEAST = 3, 8
 
 
 def _pairs(symbols: np.ndarray, wide: bool) -> np.ndarray:
@@ -89,14 +89,16 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUND
         where = where[chosen[hit[where]] == pairs[where]]
         # In a run of matches that overlap, every second one is taken.
         lead = np.concatenate([[True], np.diff(where) > 1])
-        run = np.maximum.accumulate(np.where(lead, np.arange(len(where)), 0))
-        where = where[(np.arange(len(where)) - run) % 2 == 0]
+        place = np.arange(len(where), dtype=np.int32)
+        run = np.maximum.accumulate(np.where(lead, place, np.int32(0)))
+        where = where[(place - run) & 1 == 0]
         if not len(where):
             break
-        used, number = np.unique(hit[where], return_inverse=True)
+        rule = hit[where]
+        used = np.bincount(rule, minlength=len(chosen)) > 0
         rules.append(np.stack([symbols_of(chosen[used], wide, 0), symbols_of(chosen[used], wide, 1)], 1))
-        symbols[where] = base + made + number
-        made += len(used)
+        symbols[where] = (base + made - 1 + np.cumsum(used)).astype(symbols.dtype)[rule]
+        made += int(used.sum())
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
         last[where] = last[where + 1]
@@ -180,19 +182,13 @@ class Shard:
         """The ids of all documents, in their order."""
         if not len(self.rules):
             return self.symbols.astype(np.uint32)
-        flat = _expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32), self.rules, self.base)
-        begin = np.cumsum(self.size) - self.size
-        line = self.symbols.astype(np.int64)
-        rule = np.maximum(line - self.base, 0)
-        big = line >= self.base
-        many = np.where(big, self.size[rule], 1)
-        source = np.where(big, begin[rule], 0)
+        # What each symbol stands for, all symbols in a row; an id stands for itself.
+        flat = np.concatenate([np.arange(self.base, dtype=np.uint32), _expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32), self.rules, self.base)])
+        size = np.concatenate([np.ones(self.base, np.int64), self.size])
+        begin = np.cumsum(size) - size
+        many = size[self.symbols]
         ends = np.cumsum(many)
-        within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - many, many)
-        out = np.repeat(line, many).astype(np.uint32)
-        inside = np.repeat(big, many)
-        out[inside] = flat[(np.repeat(source, many) + within)[inside]]
-        return out
+        return flat[np.repeat(begin[self.symbols] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def document(self, i: int) -> np.ndarray:
         at = int(self.per[:i].sum())
@@ -233,9 +229,9 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keys = keys.fill_null(0).to_numpy()
             offsets, _ = binary(batch.column(1))
             for at, to in blocks(offsets):
-                ids, counts = tokenizer.encode(texts_of(batch.column(1), at, to))
-                held.append((keys[at:to], nulls[at:to], np.insert(ids, np.cumsum(counts), end_id), counts + 1))
-                size += len(ids) + to - at
+                ids, counts = tokenizer.encode(texts_of(batch.column(1), at, to), end_id)
+                held.append((keys[at:to], nulls[at:to], ids, counts))
+                size += len(ids)
                 if size >= shard_tokens:
                     yield close()
                     held, size, shard = [], 0, shard + 1
