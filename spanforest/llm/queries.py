@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, packing, repair
+from . import decontaminate, exact_dedup, language_id, near_dedup, packing, repair
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 OP2 = """
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) as h from documents)
 select doc_id, min(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size,
@@ -40,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_decontaminate, op8_minhash, op9_repair, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op5_decontaminate, op8_minhash, op9_repair, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
