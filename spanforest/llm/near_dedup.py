@@ -13,10 +13,18 @@ filled; texts with an open slot are drawn again with twice the bound, so the
 bound changes the work and never the signature.
 
 Texts with equal multisets are one class and only its smallest id goes on.
-Bands of slots make buckets. No bucket's pairs are all made: every member is
-compared with the bucket's smallest, and members with different components
-after that are compared with each other only across components, while sizes
-allow the similarity. Every link that is used was verified on the whole multisets.
+Bands of slots make buckets. A member's popularity is the sum of its buckets'
+sizes; each member is compared with the most popular center of its buckets, and
+verified links make components. That leaves buckets with several components,
+whose pairs are not made either. All members x of such a bucket are compared
+with one reference c, the most popular leader of its components. If x lacks m of
+c's n runs and has e others, and y likewise, x and y are similar only if they
+share at least t = s(x) + s(y) - (1 - 2A)n of these differences, where
+s = (1 - A)m + Ae and A = similar / (1 + similar); and t is above 0 unless both
+are similar to c, and then they are in one component already. So candidates are
+found by shared differences, rarest first, with the prefix that t allows: exact
+whatever the bucket, and small where members differ from c each in its own way.
+Every link that is used was verified on the whole multisets.
 
 Defined results: null texts and texts without words resemble nothing and are
 groups of one; rows with the same id count as one document; a null id is in no
@@ -28,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -209,6 +217,59 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
+def differences(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """For pairs (a, b, of): their similarity, and b's differences from a with
+    how many of them, rarest first, must be looked at: `short` if the other side is
+    not similar to a, `long` whatever the other side is (0 if b is similar to a)."""
+    share = similar / (1 + similar)
+    lacks = np.int64(1 << 8 * HASH_BYTES)
+
+    def run(batches):
+        for batch in batches:
+            score, short, long_, lists = [], [], [], []
+            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                x, y = _numbers(x).astype(np.int64), _numbers(y).astype(np.int64)
+                line = np.concatenate([x, y])
+                order = np.argsort(line, kind="stable")
+                twice = line[order[1:]] == line[order[:-1]]
+                alone = np.ones(len(line), bool)
+                alone[order[1:][twice]] = alone[order[:-1][twice]] = False
+                lack, extra = x[alone[: len(x)]], y[alone[len(x) :]]
+                s = (1 - share) * len(lack) + share * len(extra)
+                over = s - (1 - 2 * share) * len(x)
+                both = len(x) - len(lack)
+                score.append(both / max(1, len(x) + len(extra)))
+                many = len(lack) + len(extra)
+                short.append(many - int(np.floor(s - 1e-9)))
+                long_.append(many - max(1, int(np.ceil(over - 1e-9))) + 1 if score[-1] < similar else 0)
+                lists.append(np.concatenate([extra, lack + lacks]))
+            ends = np.concatenate([[0], np.cumsum(list(map(len, lists)), dtype=np.int64)]).astype(np.int32)
+            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(score, pa.float64()), pa.array(short, pa.int64()), pa.array(long_, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["a", "b", "of", "similarity", "short", "long", "differs"])
+
+    left = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "of", "runs_a", "runs_b")
+    return joined.mapInArrow(run, "a long, b long, of long, similarity double, short long, long long, differs array<long>")
+
+
+def candidates(differ: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share enough of their rarest differences from one reference to be similar at all."""
+    apart = differ.filter("long > 0").select("a").distinct()
+    each = differ.join(apart, "a", "left_semi").select("a", "b", "of", "short", "long", F.size("differs").alias("many"), F.explode("differs").alias("d"))
+    # A difference of one member alone can't be shared: it is only counted.
+    common = each.groupBy("a", "d").agg(F.count("*").alias("n")).filter("n > 1")
+    line = Window.partitionBy("a", "b").orderBy("n", "d")
+    whole = Window.partitionBy("a", "b")
+    place = F.col("many") - F.count("*").over(whole) + F.row_number().over(line)
+    ranked = each.join(common, ["a", "d"]).withColumn("place", place).filter(F.col("place") <= F.greatest("short", "long"))
+    ranked = written(ranked.select("a", "d", "b", "of", "place", "short", "long"), "shared-differences")
+    one = ranked.filter("place <= long").select("a", "d", F.col("b").alias("x"), F.col("of").alias("of_x"))
+    other = ranked.filter("place <= short").select("a", "d", F.col("b").alias("y"), F.col("of").alias("of_y"))
+    met = one.join(other, ["a", "d"]).filter("of_x <> of_y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similar: float = SIMILAR, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, group_id (the smallest id of its group), group_size, kept, for every row.
 
@@ -219,28 +280,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = signed.filter("id is not null")
     classes = named.filter("size > 0").groupBy("same0", "same1", "size").agg(F.min("id").alias("first_id"))
     members = named.select("id", "same0", "same1", "size").join(classes, ["same0", "same1", "size"], "left").select("id", F.coalesce("first_id", "id").alias("first_id"))
-    firsts = signed.select("id", "size", "bands").join(classes.select(F.col("first_id").alias("id")), "id", "left_semi")
-    keyed = written(firsts.select("id", "size", F.explode("bands").alias("key")).distinct(), "bands")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    placed = written(keyed.join(shared, "key").select("key", "id", "size", "center"), "buckets")
-    star = placed.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    needed = placed.select("id").distinct()
+    firsts = signed.select("id", "bands").join(classes.select(F.col("first_id").alias("id")), "id", "left_semi")
+    keyed = written(firsts.select("id", F.explode("bands").alias("key")).distinct(), "bands")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    placed = written(keyed.join(shared, "key").select("key", "id", "n"), "buckets")
+    # Popularity, and beside it the smaller id as the larger number.
+    rank = written(placed.groupBy("id").agg(F.sum("n").alias("popular")), "popularity")
+    placed = placed.select("key", "id").join(rank, "id").select("key", "id", F.struct("popular", (-F.col("id")).alias("low"), "id").alias("rank"))
+    needed = rank.select("id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi").dropDuplicates(["id"])
     sets = written(multisets(texts), "multisets")
 
-    # First each member with the smallest of its centers: mostly that joins all there is to join.
-    tried = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(verified(tried, sets, similar), "near-links")
-    labels = written(connected_components(links, needed, u="a", v="b"), "near-labels")
-    # Then all that share a bucket and are in different components, if their sizes allow it.
-    at = placed.select("key", "id", "size").join(labels.select(F.col("vertex").alias("id"), F.col("component").alias("of")), "id")
+    center = placed.groupBy("key").agg(F.max("rank").alias("center"))
+    star = placed.select("key", "id").join(center, "key").groupBy("id").agg(F.max("center").alias("center")).select(F.col("center.id").alias("a"), F.col("id").alias("b")).filter("a <> b")
+    links = written(verified(star, sets, similar), "near-links")
+    labels = connected_components(links, needed, u="a", v="b").select(F.col("vertex").alias("id"), F.col("component").alias("of"))
+    labels = written(labels, "near-labels")
+
+    at = placed.join(labels, "id")
     mixed = at.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("key")
     at = written(at.join(mixed, "key", "left_semi"), "mixed")
-    one, other = at.select("key", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("of").alias("of_a")), at.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("of").alias("of_b"))
-    fits = (F.col("of_a") < F.col("of_b")) & (F.least("size_a", "size_b") >= similar * F.greatest("size_a", "size_b"))
-    across = one.join(other, "key").filter(fits).select("a", "b").distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(verified(across, sets, similar), "near-links")
-    groups = connected_components(more.unionByName(links), needed, u="a", v="b") if not more.isEmpty() else labels
+    leader = at.select("of", "rank").distinct().groupBy("of").agg(F.max("rank").alias("lead"))
+    reference = at.select("key", "of").distinct().join(leader, "of").groupBy("key").agg(F.max("lead").alias("lead")).select("key", F.col("lead.id").alias("a"))
+    against = at.select("key", F.col("id").alias("b"), "of").join(reference, "key").filter("a <> b").select("a", "b", "of").distinct()
+    differ = written(differences(against, sets, similar), "differences")
+    links = links.unionByName(differ.filter("similarity >= %r" % similar).select("a", "b", "similarity"))
+    across = written(verified(candidates(differ), sets, similar), "near-links")
+    groups = connected_components(across.unionByName(links), needed, u="a", v="b")
 
     result = members.join(groups.select(F.col("vertex").alias("first_id"), "component"), "first_id", "left").select("id", F.coalesce("component", "first_id").alias("group_id")).distinct()
     result = written(result, "near-groups")
