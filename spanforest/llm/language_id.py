@@ -196,7 +196,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     usable = ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN) & F.col(text_col).isNotNull()
     rows = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(lang_col).alias("language"), F.col(text_col).alias("text"))
     by_hash = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
-    near = rows.select("id", "language").withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language)
+    # Hashes are even over 64 bits: below this share of them lie about four times the rows wanted, however frequent the language is.
+    many = rows.groupBy("language").agg(F.count("*").alias("many"))
+    share = (F.xxhash64("id").cast("double") + 2.0**63) / 2.0**64
+    low = rows.select("id", "language").join(many, "language").filter(share * F.col("many") <= 4.0 * per_language).select("id", "language")
+    near = low.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language)
     ids = near.select("id").distinct()
     sized = rows.join(F.broadcast(ids), "id").select("id", "language", F.octet_length("text").alias("size"), F.xxhash64("id").alias("h")).collect()
     chosen, used = [], {}
