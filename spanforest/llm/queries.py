@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language_id, near_dedup, packing, repair
+from . import chat, decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, repair, warc
 from .common import table
 
 
@@ -17,6 +17,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+OP3 = """
+with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as h from pages),
+f as (select *, min(page_id) over (partition by h) as first_id from p)
+select page_id, n as payload_bytes, h as payload_digest, case when n >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+       case when n >= 100 and page_id <> first_id then first_id end as refers_to
+from f
+"""
+
 OP6 = r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
@@ -40,6 +48,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).drop("url", "payload")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
@@ -68,8 +84,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op5_decontaminate, op6_chat, op8_minhash, op9_repair, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_warc, op4_html_text, op5_decontaminate, op6_chat, op8_minhash, op9_repair, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op6_chat": OP6}
+    return {"op2_exact_dedup": OP2, "op3_warc": OP3, "op6_chat": OP6}
