@@ -218,7 +218,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def differences(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """For pairs (a, b, of): their similarity, and b's differences from a with
+    """For pairs (a, b): their similarity, and b's differences from a with
     how many of them, rarest first, must be looked at: `short` if the other side is
     not similar to a, `long` whatever the other side is (0 if b is similar to a)."""
     share = similar / (1 + similar)
@@ -227,7 +227,7 @@ def differences(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             score, short, long_, lists = [], [], [], []
-            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = _numbers(x).astype(np.int64), _numbers(y).astype(np.int64)
                 line = np.concatenate([x, y])
                 order = np.argsort(line, kind="stable")
@@ -245,18 +245,18 @@ def differences(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
                 lists.append(np.concatenate([extra, lack + lacks]))
             ends = np.concatenate([[0], np.cumsum(list(map(len, lists)), dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(score, pa.float64()), pa.array(short, pa.int64()), pa.array(long_, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["a", "b", "of", "similarity", "short", "long", "differs"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(short, pa.int64()), pa.array(long_, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["a", "b", "similarity", "short", "long", "differs"])
 
     left = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
     right = sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "of", "runs_a", "runs_b")
-    return joined.mapInArrow(run, "a long, b long, of long, similarity double, short long, long long, differs array<long>")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "runs_a", "runs_b")
+    return joined.mapInArrow(run, "a long, b long, similarity double, short long, long long, differs array<long>")
 
 
-def candidates(differ: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share enough of their rarest differences from one reference to be similar at all."""
+def candidates(differ: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components (labels: b, of) that share enough of their rarest differences from one reference to be similar at all."""
     apart = differ.filter("long > 0").select("a").distinct()
-    each = differ.join(apart, "a", "left_semi").select("a", "b", "of", "short", "long", F.size("differs").alias("many"), F.explode("differs").alias("d"))
+    each = differ.join(apart, "a", "left_semi").join(labels, "b").select("a", "b", "of", "short", "long", F.size("differs").alias("many"), F.explode("differs").alias("d"))
     # A difference of one member alone can't be shared: it is only counted.
     common = each.groupBy("a", "d").agg(F.count("*").alias("n")).filter("n > 1")
     line = Window.partitionBy("a", "b").orderBy("n", "d")
@@ -302,10 +302,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = written(at.join(mixed, "key", "left_semi"), "mixed")
     leader = at.select("of", "rank").distinct().groupBy("of").agg(F.max("rank").alias("lead"))
     reference = at.select("key", "of").distinct().join(leader, "of").groupBy("key").agg(F.max("lead").alias("lead")).select("key", F.col("lead.id").alias("a"))
-    against = at.select("key", F.col("id").alias("b"), "of").join(reference, "key").filter("a <> b").select("a", "b", "of").distinct()
+    against = at.select("key", F.col("id").alias("b")).join(reference, "key").filter("a <> b").select("a", "b").distinct()
     differ = written(differences(against, sets, similar), "differences")
     links = links.unionByName(differ.filter("similarity >= %r" % similar).select("a", "b", "similarity"))
-    across = written(verified(candidates(differ), sets, similar), "near-links")
+    labels = written(connected_components(links, needed, u="a", v="b").select(F.col("vertex").alias("b"), F.col("component").alias("of")), "near-labels")
+    across = written(verified(candidates(differ, labels), sets, similar), "near-links")
     groups = connected_components(across.unionByName(links), needed, u="a", v="b")
 
     result = members.join(groups.select(F.col("vertex").alias("first_id"), "component"), "first_id", "left").select("id", F.coalesce("component", "first_id").alias("group_id")).distinct()
