@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, repair, warc
+from . import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, near_dedup, packing, repair, warc
 from .common import table
 
 
@@ -70,6 +70,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -84,7 +88,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_warc, op4_html_text, op5_decontaminate, op6_chat, op8_minhash, op9_repair, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_warc, op4_html_text, op5_decontaminate, op6_chat, op7_line_dedup, op8_minhash, op9_repair, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,7 +28,7 @@ LOWER, IS_WORD, _VALUE = _tables()
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd constant, and of its inverse, modulo 2**64."""
     global _powers
     if len(_powers[0]) < n:
@@ -66,7 +66,7 @@ def words(offsets: np.ndarray, data: np.ndarray) -> Words:
     if len(joined):
         starts = np.sort(np.concatenate([starts, joined]))
         ends = np.sort(np.concatenate([ends, joined]))
-    up, down = _powers_to(n + 1)
+    up, down = powers_to(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * up[:n], out=total[1:])
     hashes = splitmix((total[ends] - total[starts]) * down[starts])
