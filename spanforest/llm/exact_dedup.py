@@ -167,6 +167,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, with all its columns. Ids are taken to name rows: of rows with a kept id one stays."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    """One row of each group, with all its columns: the one named by keep_id, or any if none of the group has an id.
+
+    Ids are taken to name rows: of rows with the same kept id one stays.
+    """
+    kept = written(exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), "text_sha256"), "kept")
+    named = docs.join(kept.select("_kept_id"), F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    # Groups without any id are found by their text; filters on a null id rarely read anything.
+    mark = "_text_sha256"
+    while mark in docs.columns:
+        mark += "_"
+    unnamed = docs.filter(F.col(id_col).isNull()).withColumn(mark, F.sha2(normalised(F.col(text_col)), 256))
+    digests = kept.filter("_kept_id is null").select(F.col("text_sha256").alias("_digest"))
+    unnamed = unnamed.join(digests, F.col(mark) == F.col("_digest"), "left_semi").dropDuplicates([mark]).drop(mark)
+    return named.unionByName(unnamed)
