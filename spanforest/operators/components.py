@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import written
+from .state import forget, written
 
 
 def _stamp(edges: DataFrame) -> tuple[int, int]:
@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, *,
         small = large.join(smaller, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).filter("u <> v").distinct()
         following = written(small, "links")
         stamp = _stamp(following)
+        forget(current)
         current = following
         if stamp == seen:
             break
