@@ -34,6 +34,8 @@ other than the id and the text are not read.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -221,7 +223,8 @@ def differences(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """For pairs (a, b): their similarity, and b's differences from a with
     how many of them, rarest first, must be looked at: `short` if the other side is
     not similar to a, `long` whatever the other side is (0 if b is similar to a)."""
-    share = similar / (1 + similar)
+    # In whole numbers, with similar = p / q and all of s, t and n times p + q: no bound is off by a rounding.
+    p, q = Fraction(str(similar)).as_integer_ratio()
     lacks = np.int64(1 << 8 * HASH_BYTES)
 
     def run(batches):
@@ -235,13 +238,12 @@ def differences(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
                 alone = np.ones(len(line), bool)
                 alone[order[1:][twice]] = alone[order[:-1][twice]] = False
                 lack, extra = x[alone[: len(x)]], y[alone[len(x) :]]
-                s = (1 - share) * len(lack) + share * len(extra)
-                over = s - (1 - 2 * share) * len(x)
-                both = len(x) - len(lack)
-                score.append(both / max(1, len(x) + len(extra)))
+                s = q * len(lack) + p * len(extra)
+                over = s - (q - p) * len(x)
                 many = len(lack) + len(extra)
-                short.append(many - int(np.floor(s - 1e-9)))
-                long_.append(many - max(1, int(np.ceil(over - 1e-9))) + 1 if score[-1] < similar else 0)
+                score.append((len(x) - len(lack)) / max(1, len(x) + len(extra)))
+                short.append(many - s // (p + q))
+                long_.append(many - max(1, -(-over // (p + q))) + 1 if over > 0 else 0)
                 lists.append(np.concatenate([extra, lack + lacks]))
             ends = np.concatenate([[0], np.cumsum(list(map(len, lists)), dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
@@ -294,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     center = placed.groupBy("key").agg(F.max("rank").alias("center"))
     star = placed.select("key", "id").join(center, "key").groupBy("id").agg(F.max("center").alias("center")).select(F.col("center.id").alias("a"), F.col("id").alias("b")).filter("a <> b")
     links = written(verified(star, sets, similar), "near-links")
-    labels = connected_components(links, needed, u="a", v="b").select(F.col("vertex").alias("id"), F.col("component").alias("of"))
+    labels = connected_components(links, needed, u="a", v="b", finish_edges=0).select(F.col("vertex").alias("id"), F.col("component").alias("of"))
     labels = written(labels, "near-labels")
 
     at = placed.join(labels, "id")
@@ -304,10 +306,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reference = at.select("key", "of").distinct().join(leader, "of").groupBy("key").agg(F.max("lead").alias("lead")).select("key", F.col("lead.id").alias("a"))
     against = at.select("key", F.col("id").alias("b")).join(reference, "key").filter("a <> b").select("a", "b").distinct()
     differ = written(differences(against, sets, similar), "differences")
-    links = links.unionByName(differ.filter("similarity >= %r" % similar).select("a", "b", "similarity"))
-    labels = written(connected_components(links, needed, u="a", v="b").select(F.col("vertex").alias("b"), F.col("component").alias("of")), "near-labels")
+    links = links.unionByName(differ.filter("long = 0").select("a", "b", "similarity"))
+    labels = written(connected_components(links, needed, u="a", v="b", finish_edges=0).select(F.col("vertex").alias("b"), F.col("component").alias("of")), "near-labels")
     across = written(verified(candidates(differ, labels), sets, similar), "near-links")
-    groups = connected_components(across.unionByName(links), needed, u="a", v="b")
+    groups = connected_components(across.unionByName(links), needed, u="a", v="b", finish_edges=0)
 
     result = members.join(groups.select(F.col("vertex").alias("first_id"), "component"), "first_id", "left").select("id", F.coalesce("component", "first_id").alias("group_id")).distinct()
     result = written(result, "near-groups")
