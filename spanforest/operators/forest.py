@@ -9,58 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .local import FINISH_EDGES, local_rounds
 from .prepare import ranked_edges, vertices_of
 from .rounds import best_edges, contract, relabelled, smallest_names
 from .state import forget, written
 
-#: Edges between components that one task finishes: 24 bytes each in its arrays, a few times over.
-FINISH_EDGES = 2_000_000
-
-
 class ForestResult(NamedTuple):
     edges: DataFrame  # u, v, w, round
     labels: DataFrame  # vertex, component
     trace: DataFrame  # round, live_edges, components, chosen_edges
 
 
-class LocalRound(NamedTuple):
-    chosen: np.ndarray  # rids
-    live_edges: int
-    components: int
-
-
-def local_rounds(cu: np.ndarray, cv: np.ndarray, rid: np.ndarray) -> tuple[list[LocalRound], np.ndarray, np.ndarray]:
-    """The same rounds over arrays: (rounds, components, the root of each)."""
-    names, flat = np.unique(np.concatenate([cu, cv]), return_inverse=True)
-    order = np.argsort(rid, kind="stable")
-    a, b, rid = flat[: len(cu)][order], flat[len(cu) :][order], rid[order]
-    root = np.arange(len(names))
-    rounds = []
-    while len(a):
-        n, place = len(names), np.arange(len(a))
-        best = np.full(n, len(a))
-        np.minimum.at(best, a, place)
-        np.minimum.at(best, b, place)
-        at = np.flatnonzero(best < len(a))
-        taken = best[at]
-        rounds.append(LocalRound(rid[np.unique(taken)], len(a), len(at)))
-        to = np.arange(n)
-        to[at] = np.where(a[taken] == at, b[taken], a[taken])
-        mutual = (to[to] == np.arange(n)) & (np.arange(n) < to)
-        to[mutual] = np.flatnonzero(mutual)
-        while (to[to] != to).any():
-            to = to[to]
-        root = to[root]
-        x, y = to[a], to[b]
-        a, b = np.minimum(x, y), np.maximum(x, y)
-        apart = np.flatnonzero(a != b)
-        # Sorted by order, so the first of parallel edges is the one to keep.
-        _, first = np.unique(a[apart] * n + b[apart], return_index=True)
-        keep = apart[np.sort(first)]
-        a, b, rid = a[keep], b[keep], rid[keep]
-    return rounds, names, names[root] if len(names) else names
-
-
 def _finished(live: DataFrame, done: int) -> DataFrame:
     """kind, a, b, c: rows (0, rid, round), (1, component, root), (2, round, live edges, components) of the rounds that are left."""
 
