@@ -169,9 +169,14 @@ LABELLED = """
   60   0    0   0   0   0  0 2  1
    5 100   60   0   6 100  0 2  0
    1 100   40   0   1 100  0 2  0
-   8  88   70   0   9 100  0 2  0
+   6  50   40   0  50   0  0 2  1
+   8  63   70   0   9 100  0 2  1
+  20  80   60   0   4 100  0 2  1
+  10  90   30   0  40   0  0 2  1
+  30  45    5   0   0   0  0 2  1
+   8 100   70   0   9 100  0 2  0
    3 100    0   0   0   0  0 2  0
-  12  95   30   0  25   0  0 2  0
+  12 100   30   0  25   0  0 2  0
    2 100   50   0  70   0  0 2  0
    7   0   60   0   2 100  1 2  0
   40   0   60   0  20   0  1 2  0
@@ -195,27 +200,57 @@ LABELLED = """
   70   0   80   0  90   0  1 1  0
    8  20   90   0   0   0  1 1  0
    7   0    3 100  60   0  0 1  1
-  60   0    7   0  80   0  0 1  1
-  80   3   60   0  45   0  0 1  1
-  45   0   80   0   6 100  0 1  1
+   5   0    2 100  20   0  0 1  1
+   3   0    1 100  18   0  0 1  1
+   4   0    2   0  22   0  0 1  1
+   8   0    3   0 200   0  0 1  1
    4   0   45   0  50   0  0 1  1
    2   0   60   0  70   0  0 1  1
-  25  10   60   0  30   0  0 1  1
- 200   0    0   0   0   0  0 1  1
-  20   0    0   0   0   0  0 1  1
+   3   0   50   0   4   0  0 1  1
+   5   0    4   0  60   0  0 1  1
+   2   0    3   0   2   0  0 1  1
+   1   0    1   0   1   0  0 1  1
+   6   0    0   0   9   0  0 1  1
+   8   0    0   0  30   0  0 1  1
+   9   0    5   0   8   0  0 1  1
+  12   0    9 100 120   2  0 1  1
+  12   0   40   0   1 100  0 1  1
   14   0   16   0  13   0  0 1  1
   11   0   30   0  14   0  0 1  1
+  13   0    2 100   3 100  0 1  1
+  16   6   30   0   2 100  0 1  1
+  20   0    0   0   0   0  0 1  1
+  25  10   60   0  30   0  0 1  1
+  25  12   60   0   4 100  0 1  1
+  30   0    3 100   1 100  0 1  1
+  30   0    0   0   2 100  0 1  1
+  45   0   80   0   6 100  0 1  1
+  45   3   20   0   2 100  0 1  1
+  60   0    7   0  80   0  0 1  1
+  60   0   10   0   0   0  0 1  1
+  80   3   60   0  45   0  0 1  1
+  90   0    0   0   5 100  0 1  1
+ 150   8    2 100   3   0  0 1  1
+ 200   0    0   0   0   0  0 1  1
+ 300   1    1 100   1 100  0 1  1
    3 100    2 100   2 100  0 1  0
    1 100    0   0   1 100  0 1  0
    9  90    4 100   7 100  0 1  0
   20  80   60   0   4 100  0 1  0
+  40  75   60   0  30   0  0 1  0
    6 100   60   0  50   0  0 1  0
+  12 100   30   0   9   0  0 1  0
    2   0    3 100   2 100  0 1  0
    4   0    1 100   5 100  0 1  0
    3   0    2   0   4 100  0 1  0
-   5   0    5 100   0   0  0 1  0
-   1   0    2 100   1   0  0 1  0
+   2   0   60   0   4 100  0 1  0
+   1   0   20   0   3 100  0 1  0
+   3   0    4 100   3 100  0 1  0
+   5   0   25   0   9 100  0 1  0
+   6   0   40   0   2 100  0 1  0
+   1   0    5   0   1 100  0 1  0
    6  50    4 100   3   0  0 1  0
+   4  50    2 100  30   0  0 1  0
 """
 FEATURES = 8
 
