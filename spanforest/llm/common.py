@@ -3,11 +3,12 @@ code to executors, and walking over Arrow batches in pieces of bounded size."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised kernel looks at in one go; one longer text goes alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes in one Arrow batch between the JVM and Python, where the session sets nothing else.
 BATCH_BYTES = 16 << 20
 
@@ -65,6 +66,22 @@ def ready(spark: SparkSession) -> None:
     context._spanforest_shipped = True
 
 
+#: Called when a Python worker turns from one operator to another: what the last one cached goes.
+CLEARED: list[Callable[[], None]] = []
+_claimed = ""
+
+
+def claim(operator: str) -> None:
+    """Said by an operator's task when it begins. Workers are used again by other
+    operators' tasks, whose memory must not add up to that of all of them."""
+    global _claimed
+    if _claimed not in ("", operator):
+        for clear in CLEARED:
+            clear()
+        gc.collect()
+    _claimed = operator
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

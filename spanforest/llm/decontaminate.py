@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, ready
+from .common import binary, blocks, claim, ready
 from .words import LOWER, Words, windows, words
 
 WINDOW = 10
@@ -145,6 +145,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     held = _blocks(docs, benchmark, item_col, item_text_col, window, block_bytes)
 
     def run(batches):
+        claim("decontaminate")
         for batch in batches:
             whole, bytes_ = binary(batch.column(1))
             for at, to in blocks(whole):
@@ -185,6 +186,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     place = docs.columns.index(text_col)
 
     def run(batches):
+        claim("decontaminate")
         for batch in batches:
             whole, bytes_ = binary(batch.column(place))
             for at, to in blocks(whole):

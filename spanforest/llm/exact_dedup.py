@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, written
+from .common import claim, ready, written
 
 FAN_BITS = 4
 #: Rows of a run that are sorted at once; a longer partition makes several runs.
@@ -81,6 +81,7 @@ def _runs(rows: DataFrame) -> DataFrame:
     """Level 0: run, keys, keeps, and all ids of each key (ids, and how many)."""
 
     def run(batches):
+        claim("exact_dedup")
         part, flush, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def close():
@@ -118,6 +119,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rounds += 1
 
     def deal(batches):
+        claim("exact_dedup")
         for batch in batches:
             for run, keys, keeps in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 yield from _table(list(_segments(run // _FLUSHES, 0, 0, np.frombuffer(keys, f"S{KEY}"), np.frombuffer(keeps, KEEP)))).to_batches()
@@ -144,6 +146,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = pieces.groupBy("node", "segment").applyInArrow(merge(rounds), "key binary, keep_id long, keep_run long, group_size long")
 
     def unpack(batches):
+        claim("exact_dedup")
         for batch in batches:
             for run, keys, keeps, ids, nulls in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 rows = np.frombuffer(keeps, KEEP)["rows"]

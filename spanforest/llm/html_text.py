@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import claim, ready
 
 #: Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -329,6 +329,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     tree = grow(*labelled())
 
     def run(batches):
+        claim("html_text")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, ready
+from .common import binary, blocks, claim, ready
 
 PER_LANGUAGE, SAMPLE_BYTES = 1500, 6 << 20
 UNKNOWN = "und"
@@ -229,6 +229,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", *, lang_as:
         letters += "_"
 
     def run(batches):
+        claim("language_id")
         known = Model(*held.value)
         for batch in batches:
             whole, bytes_ = binary(batch.column(place))

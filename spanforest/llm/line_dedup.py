@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, ready, splitmix, written
+from .common import binary, blocks, claim, ready, splitmix, written
 from .words import powers_to
 
 #: Lines that the rolling hash looks back on, and one in how many lines ends a chunk.
@@ -97,6 +97,7 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, begin, size, hash of each chunk of several lines that is not white space alone; begin and size in bytes."""
 
     def run(batches):
+        claim("line_dedup")
         for batch in batches:
             whole, bytes_ = binary(batch.column(1))
             for at, to in blocks(whole):
@@ -122,6 +123,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).filter("text is not null")
 
     def run(batches):
+        claim("line_dedup")
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("size", pa.int64()), ("hash", pa.int64()), ("bytes", pa.binary())]))
         for batch in batches:
             out = []
@@ -145,6 +147,7 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(cuts, "doc_id", "left").select("doc_id", "text", "cuts")
 
     def run(batches):
+        claim("line_dedup")
         for batch in batches:
             whole, _ = binary(batch.column(1))
             for at, to in blocks(whole):

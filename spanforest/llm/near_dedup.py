@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import binary, blocks, ready, splitmix, written
+from .common import binary, blocks, claim, ready, splitmix, written
 from .words import Words, windows, words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -143,6 +143,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, rows: int = ROWS, ba
     """id, size, two class hashes and band keys of each row; no keys for texts without words."""
 
     def run(batches):
+        claim("near_dedup")
         for batch in batches:
             whole, bytes_ = binary(batch.column(1))
             for at, to in blocks(whole):
@@ -168,6 +169,7 @@ def multisets(texts: DataFrame) -> DataFrame:
     """id, runs: the sorted hashes of a text's runs, each occurrence with a hash of its own, HASH_BYTES each."""
 
     def run(batches):
+        claim("near_dedup")
         for batch in batches:
             whole, bytes_ = binary(batch.column(1))
             for at, to in blocks(whole):
@@ -208,6 +210,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap enough, with their similarity."""
 
     def run(batches):
+        claim("near_dedup")
         for batch in batches:
             score = np.array([overlap(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)])
             good = np.flatnonzero(score >= similar) if len(score) else np.zeros(0, np.int64)
@@ -228,6 +231,7 @@ def differences(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     lacks = np.int64(1 << 8 * HASH_BYTES)
 
     def run(batches):
+        claim("near_dedup")
         for batch in batches:
             score, short, long_, lists = [], [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

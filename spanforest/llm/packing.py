@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, ready, written
+from .common import binary, blocks, claim, ready, written
 from .tokens import loaded, vocabulary
 
 TOKENS = "part long, doc_id {id}, start_in_part long, n_tokens long, ids binary"
@@ -39,6 +39,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocab: str, end_id: i
     """Ids (little-endian, 32 bits) of each row, with its partition and its start in it."""
 
     def run(batches):
+        claim("tokens")
         part, total = TaskContext.get().partitionId(), 0
         tokenizer = loaded(vocabulary(vocab))
         for batch in batches:
@@ -81,6 +82,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voc
     placed = tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
     def run(batches):
+        claim("tokens")
         for batch in batches:
             offsets, data = binary(batch.column(3))
             starts, counts = batch.column(1).to_numpy(), batch.column(2).to_numpy()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, get, partitions_for, put, ready, shared_dir, written
+from .common import binary, blocks, claim, get, partitions_for, put, ready, shared_dir, written
 from .packing import texts_of
 from .tokens import loaded, vocabulary
 
@@ -37,6 +37,7 @@ MAGIC = b"RPG1"
 SHARD_TOKENS = 1 << 21
 #: Rounds of replacement, and how often a pair must occur to be replaced.
 ROUNDS, LEAST = 3, 8
+_SLOT_BITS = 18
 
 
 def _pairs(symbols: np.ndarray, wide: bool) -> np.ndarray:
@@ -47,8 +48,8 @@ def _pairs(symbols: np.ndarray, wide: bool) -> np.ndarray:
 
 def _slots(pairs: np.ndarray) -> np.ndarray:
     if pairs.dtype == np.uint32:
-        return (pairs * np.uint32(2654435761)) >> np.uint32(12)
-    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.uint32)
+        return (pairs * np.uint32(2654435761)) >> np.uint32(32 - _SLOT_BITS)
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.uint32)
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,9 +81,9 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUND
             break
         good = good[np.lexsort((found[good], -often[good]))][: max(1, (room - made) // (rounds - turn))]
         chosen = found[good]
-        slot = np.full(1 << 20, -1, np.int32)
+        slot = np.full(1 << _SLOT_BITS, -1, np.int16 if room < 1 << 15 else np.int32)
         at = _slots(chosen)
-        slot[at[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]  # of two pairs in a slot the more frequent; the other has its turn in a later round
+        slot[at[::-1]] = np.arange(len(chosen), dtype=slot.dtype)[::-1]  # of two pairs in a slot the more frequent; the other has its turn in a later round
         hit = slot[_slots(pairs)]
         match = (hit >= 0) & ~last[:-1]
         where = np.flatnonzero(match)
@@ -212,6 +213,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     folder = folder or shared_dir(spark, "token-shards")
 
     def run(batches):
+        claim("tokens")
         part, tokenizer = TaskContext.get().partitionId(), loaded(vocabulary(vocab))
         held: list[tuple] = []
         shard = size = 0
@@ -252,6 +254,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     ready(manifest.sparkSession)
 
     def run(batches):
+        claim("tokens")
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard.load(get(uri))

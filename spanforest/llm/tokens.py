@@ -16,15 +16,25 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .common import CLEARED
+
 #: Distinct pieces kept by one Python worker; above it the cache starts anew.
 CACHE_PIECES = 1_200_000
 #: Characters of pieces that are encoded in one call.
 _CALL = 4096
 
 _UNSAFE = re.compile(r" (?:\s|᠎|\Z)")
+_CONTROL = re.compile(r"[\t\x0b-\x1f]")
 _CUT = re.compile(r"(?= [^\s᠎])")
 
 
+def _unsafe(text: str) -> bool:
+    """Whether a space stands before white space or at the end, so that not every space begins a piece."""
+    if text.isascii() and "  " not in text and " \n" not in text and text[-1:] != " " and not _CONTROL.search(text):
+        return False
+    return _UNSAFE.search(text) is not None
+
+
 class _Numbers(dict):
     """Numbers pieces as they are first asked for, and lists the new ones."""
 
@@ -126,14 +136,14 @@ class PieceTokenizer:
         tails: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            if _UNSAFE.search(text):
-                head, *tail = _CUT.split(text)
-                tail = [p[1:] for p in tail]
+            if _unsafe(text):
+                parts = _CUT.split(text)
+                parts[1:] = [p[1:] for p in parts[1:]]
             else:
-                head, *tail = text.split(" ")
-            heads.append(head)
-            tails += tail
-            sizes[i] = len(tail) + 1
+                parts = text.split(" ")
+            sizes[i] = len(parts)
+            heads.append(parts.pop(0))
+            tails += parts
         ended = end_id is not None
         sizes += ended
         index = np.zeros(int(sizes.sum()), np.int64)
@@ -155,6 +165,7 @@ class PieceTokenizer:
 
 
 _loaded: dict[str, PieceTokenizer] = {}
+CLEARED.append(_loaded.clear)
 
 
 def loaded(path: str) -> PieceTokenizer:

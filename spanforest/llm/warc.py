@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get, partitions_for, put, ready, shared_dir, written
+from .common import claim, get, partitions_for, put, ready, shared_dir, written
 
 LEAST = 100
 FILE_BYTES = 32 << 20
@@ -156,6 +156,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     planned = rows.join(firsts, ["digest", "n"], "left").select("id", "url", "payload", "digest", "first_id", (F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))).alias("revisit"))
 
     def run(batches):
+        claim("warc")
         part, number, writer = TaskContext.get().partitionId(), 0, None
 
         def close():
@@ -194,6 +195,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             yield page_of(headers["warc-record-id"]), headers["warc-target-uri"], size, digest, headers["warc-type"], page_of(headers["warc-refers-to"]) if revisit else None, None if revisit else payload
 
     def run(batches):
+        claim("warc")
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
