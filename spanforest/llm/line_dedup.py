@@ -34,7 +34,7 @@ from .common import binary, blocks, claim, ready, splitmix, written
 from .words import powers_to
 
 #: Lines that the rolling hash looks back on, and one in how many lines ends a chunk.
-LOOK_BACK, ONE_IN = 2, 3
+LOOK_BACK, ONE_IN = 2, 2
 LEAST_LINES, MOST_LINES = 2, 64
 
 _VALUES = splitmix(np.arange(256, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(9)) | np.uint64(1)
