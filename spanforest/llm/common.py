@@ -41,6 +41,14 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows as a table in the shared folder: they are computed once, lineage
     ends there, and a lost executor costs a reread and no more."""

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, ready, written
+from .common import claim, fresh, ready, written
 
 FAN_BITS = 4
 #: Rows of a run that are sorted at once; a longer partition makes several runs.
@@ -174,13 +174,11 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Ids are taken to name rows: of rows with the same kept id one stays.
     """
-    kept = written(exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), "text_sha256"), "kept")
-    named = docs.join(kept.select("_kept_id"), F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    name, mark, digest = fresh(docs, "_kept_id"), fresh(docs, "_text_sha256"), fresh(docs, "_kept_sha256")
+    kept = written(exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(digest)), "kept")
+    named = docs.join(kept.select(name), F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
     # Groups without any id are found by their text; filters on a null id rarely read anything.
-    mark = "_text_sha256"
-    while mark in docs.columns:
-        mark += "_"
     unnamed = docs.filter(F.col(id_col).isNull()).withColumn(mark, F.sha2(normalised(F.col(text_col)), 256))
-    digests = kept.filter("_kept_id is null").select(F.col("text_sha256").alias("_digest"))
-    unnamed = unnamed.join(digests, F.col(mark) == F.col("_digest"), "left_semi").dropDuplicates([mark]).drop(mark)
+    digests = kept.filter(F.col(name).isNull()).select(digest)
+    unnamed = unnamed.join(digests, F.col(mark) == F.col(digest), "left_semi").dropDuplicates([mark]).drop(mark)
     return named.unionByName(unnamed)

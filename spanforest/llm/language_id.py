@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, claim, ready
+from .common import binary, blocks, claim, fresh, ready
 
 PER_LANGUAGE, SAMPLE_BYTES = 1500, 6 << 20
 UNKNOWN = "und"
@@ -224,9 +224,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", *, lang_as:
     held = spark.sparkContext.broadcast(tuple(model))
     names = pa.array([*model.languages, UNKNOWN])
     place = docs.columns.index(text_col)
-    letters = "_has_letter"
-    while letters in docs.columns:
-        letters += "_"
+    letters = fresh(docs, "_has_letter")
 
     def run(batches):
         claim("language_id")
@@ -251,8 +249,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", *, lang_as:
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", *, least_score: float = 0.0) -> DataFrame:
     """The documents, all columns as they were, whose language is recognised with at least that score."""
-    lang, score = "_lang_pred", "_lang_score"
-    while lang in docs.columns or score in docs.columns:
-        lang, score = lang + "_", score + "_"
+    lang, score = fresh(docs, "_lang_pred"), fresh(docs, "_lang_score")
     found = identify(docs, model, text_col, lang_as=lang, score_as=score)
     return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(*docs.columns)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import binary, blocks, claim, ready, splitmix, written
+from .common import binary, blocks, claim, fresh, ready, splitmix, written
 from .words import Words, windows, words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -324,5 +324,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents, all columns, without those that are in a group of a smaller id; null ids stay."""
-    gone = near_duplicates(docs, id_col, text_col, **how).filter("not kept").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    name = fresh(docs, "_gone_id")
+    gone = near_duplicates(docs, id_col, text_col, **how).filter("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanforest.llm.common import written
@@ -85,6 +86,8 @@ def test_null_ids_survive_with_their_columns(spark, tmp_path, name):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = [(1, "some words of a text", "en", 1), (None, "other words without an id", "en", 2), (None, "other words  without an id", "en", 3), (None, "some words of a text", "en", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept int")
+    for extra in ("_kept_id", "_gone_id", "_lang_pred", "_lang_score", "_has_letter", "_text_sha256", "score", "id", "part"):
+        docs = docs.withColumn(extra, F.lit(1))
     out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     got = sorted(r.kept for r in out.collect())
