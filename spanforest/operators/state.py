@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +21,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that were made in the shared one, in order; see `swept`.
+_made: list[str] = []
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """The URI of a new folder in the shared one."""
+    folder = shared_folder(spark)
+    if ":" not in folder.split("/")[0]:
+        folder = Path(folder).absolute().as_uri()
+    _made.append(f"{folder}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows, written once to the shared folder and read from there: a lost
     executor costs a reread, and plans don't grow with the rounds."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = new_folder(spark, what)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
@@ -34,6 +49,23 @@ def forget(*tables: DataFrame) -> None:
     """Deletes written tables that no later step reads, so that rounds don't pile up on disk."""
     for table in tables:
         if path := getattr(table, "_written_to", None):
-            jvm = table.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if path in _made:
+        _made.remove(path)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end what was written inside, but for the tables in the list it gives."""
+    before, kept = set(_made), []
+    try:
+        yield kept
+    finally:
+        stay = {getattr(t, "_written_to", None) for t in kept}
+        for path in [p for p in _made if p not in before and p not in stay]:
+            _delete(spark, path)
