@@ -3,6 +3,8 @@ code to executors, and walking over Arrow batches in pieces of bounded size."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -15,32 +17,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.state import new_folder as shared_dir
+from ..operators.state import swept, written
+
+__all__ = ["shared_dir", "swept", "written"]
+
 #: Bytes of text that a vectorised kernel looks at in one go; one longer text goes alone.
 BLOCK_BYTES = 1 << 20
 #: Bytes in one Arrow batch between the JVM and Python, where the session sets nothing else.
 BATCH_BYTES = 16 << 20
+#: Rows in one, where the session has Spark's default of 10,000.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent (tests in one process) a temporary folder is
-    made and set as checkpoint folder; a cluster always names one.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        base = Path(tempfile.mkdtemp(prefix="checkpoint-")).as_uri()
-        context.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = Path(base).absolute().as_uri()
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def fresh(docs: DataFrame, name: str) -> str:
     """The name, or one like it, that no column has."""
     taken = {c.lower() for c in docs.columns}
@@ -49,20 +42,13 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a table in the shared folder: they are computed once, lineage
-    ends there, and a lost executor costs a reread and no more."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ready(spark: SparkSession) -> None:
-    """Lets executors import this package, and bounds Arrow batches by bytes."""
+    """Lets executors import this package, and bounds Arrow batches where the session doesn't."""
     context = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "", str(2**31 - 1), "2147483647b"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_spanforest_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -87,6 +73,8 @@ def claim(operator: str) -> None:
         for clear in CLEARED:
             clear()
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory otherwise
+            ctypes.CDLL(None).malloc_trim(0)
     _claimed = operator
 
 

@@ -38,6 +38,8 @@ SHARD_TOKENS = 1 << 21
 #: Rounds of replacement, and how often a pair must occur to be replaced.
 ROUNDS, LEAST = 3, 8
 _SLOT_BITS = 18
+#: Compression leaves less time for tokenising: more pieces stay cached than elsewhere.
+CACHE_PIECES = 1_200_000
 
 
 def _pairs(symbols: np.ndarray, wide: bool) -> np.ndarray:
@@ -206,7 +208,7 @@ class Shard:
         return _expand(line[first:last], self.rules, self.base)[skip : skip + max(0, end - begin)]
 
 
-def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", end_id: int = 2, base: int = 50257, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS, folder: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", end_id: int = 2, base: int = 50257, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS, cache_pieces: int = CACHE_PIECES, folder: str | None = None) -> DataFrame:
     """Writes all documents; the manifest has a row a shard: part, shard, file, n_docs, n_tokens, n_bytes, start."""
     spark = docs.sparkSession
     ready(spark)
@@ -214,7 +216,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         claim("tokens")
-        part, tokenizer = TaskContext.get().partitionId(), loaded(vocabulary(vocab))
+        part, tokenizer = TaskContext.get().partitionId(), loaded(vocabulary(vocab), cache_pieces)
         held: list[tuple] = []
         shard = size = 0
 

@@ -18,8 +18,8 @@ import numpy as np
 
 from .common import CLEARED
 
-#: Distinct pieces kept by one Python worker; above it the cache starts anew.
-CACHE_PIECES = 1_200_000
+#: Distinct pieces kept by one Python worker, about 230 bytes each; above it the cache starts anew.
+CACHE_PIECES = 500_000
 #: Characters of pieces that are encoded in one call.
 _CALL = 4096
 
@@ -57,9 +57,10 @@ class PieceTokenizer:
     encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
+        self.cache_pieces = cache_pieces
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         kind = str(self.tokenizer.pre_tokenizer)
@@ -130,7 +131,7 @@ class PieceTokenizer:
         if not self.exact:
             ids, counts = self._encode(texts)
             return (ids, counts) if end_id is None else (np.insert(ids, np.cumsum(counts), end_id), counts + 1)
-        if self.pieces > CACHE_PIECES:
+        if self.pieces > self.cache_pieces:
             self._clear()
         heads: list[str] = []
         tails: list[str] = []
@@ -168,11 +169,12 @@ _loaded: dict[str, PieceTokenizer] = {}
 CLEARED.append(_loaded.clear)
 
 
-def loaded(path: str) -> PieceTokenizer:
+def loaded(path: str, cache_pieces: int = CACHE_PIECES) -> PieceTokenizer:
     """One per Python worker and file."""
     if path not in _loaded:
         _loaded.clear()
-        _loaded[path] = PieceTokenizer(path)
+        _loaded[path] = PieceTokenizer(path, cache_pieces)
+    _loaded[path].cache_pieces = cache_pieces
     return _loaded[path]
 
 
