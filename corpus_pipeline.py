@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforest.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
-from spanforest.llm.common import table, written
+from spanforest.llm.common import swept, table, written
 
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with swept(spark) as kept:  # a stage's own tables go when its result is written
+            docs = written(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
