@@ -25,6 +25,19 @@ select page_id, n as payload_bytes, h as payload_digest, case when n >= 100 and
 from f
 """
 
+OP5 = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+i as (select item, ws, least(10, len(ws)) as size from b where len(ws) > 0),
+iw as (select distinct item, size, array_to_string(ws[p:p + size - 1], ' ') as words from (select item, ws, size, unnest(range(1, len(ws) - size + 2)) as p from i)),
+dw as (select doc_id, p, size, array_to_string(ws[p:p + size - 1], ' ') as words from (select doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) as p from d, (select distinct size from i) where len(ws) >= size)),
+h as (select doc_id, p, size, item from dw join iw using (size, words)),
+c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + size)) as q from h) group by 1),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h) group by 1)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join t using (doc_id)
+"""
+
 OP6 = r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
@@ -92,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_warc": OP3, "op6_chat": OP6}
+    return {"op2_exact_dedup": OP2, "op3_warc": OP3, "op5_decontaminate": OP5, "op6_chat": OP6}
