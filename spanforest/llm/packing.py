@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary, blocks, claim, ready, written
-from .tokens import loaded, vocabulary
+from .tokens import TEXT_BYTES, loaded, vocabulary
 
 TOKENS = "part long, doc_id {id}, start_in_part long, n_tokens long, ids binary"
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, opens boolean, closes boolean, ids binary"
@@ -44,7 +44,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocab: str, end_id: i
         tokenizer = loaded(vocabulary(vocab))
         for batch in batches:
             offsets, _ = binary(batch.column(1))
-            for at, to in blocks(offsets):
+            for at, to in blocks(offsets, TEXT_BYTES):
                 whole, counts = tokenizer.encode(texts_of(batch.column(1), at, to), end_id)
                 cut = np.concatenate([[0], np.cumsum(counts)])
                 data = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(whole.astype("<u4"))])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import binary, blocks, claim, get, partitions_for, put, ready, shared_dir, written
 from .packing import texts_of
-from .tokens import loaded, vocabulary
+from .tokens import TEXT_BYTES, loaded, vocabulary
 
 MAGIC = b"RPG1"
 #: Ids in a shard before a new one begins: bounds a task's memory.
@@ -232,7 +232,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             nulls = keys.is_null().to_numpy(zero_copy_only=False)
             keys = keys.fill_null(0).to_numpy()
             offsets, _ = binary(batch.column(1))
-            for at, to in blocks(offsets):
+            for at, to in blocks(offsets, TEXT_BYTES):
                 ids, counts = tokenizer.encode(texts_of(batch.column(1), at, to), end_id)
                 held.append((keys[at:to], nulls[at:to], ids, counts))
                 size += len(ids)

@@ -1,8 +1,9 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library.
 
 The library's own pre-tokenisation never joins what stands before a space and
-what stands from that space on if a character that is no white space follows.
-So texts are cut there, each distinct piece is encoded once by the library,
+what stands from that space on if a character that is no white space follows,
+and a line feed between two characters that are none is a token of its own. So
+texts are cut there, each distinct piece is encoded once by the library,
 and the ids of a text are the ids of its pieces in a row. Pieces are kept in a
 cache of bounded size. Encoding and special-token handling equal
 `encode_batch(texts, add_special_tokens=False)` with `encode_special_tokens`.
@@ -20,7 +21,9 @@ from .common import CLEARED
 
 #: Distinct pieces kept by one Python worker, about 230 bytes each; above it the cache starts anew.
 CACHE_PIECES = 500_000
-#: Characters of pieces that are encoded in one call.
+#: Bytes of texts that are encoded in one call.
+TEXT_BYTES = 4 << 20
+#: Pieces that are encoded in one call.
 _CALL = 4096
 
 _UNSAFE = re.compile(r" (?:\s|᠎|\Z)")
@@ -35,6 +38,10 @@ def _unsafe(text: str) -> bool:
     return _UNSAFE.search(text) is not None
 
 
+def _bare(piece: str) -> bool:
+    return bool(piece) and "\n" not in piece and not piece[0].isspace() and not piece[-1].isspace()
+
+
 class _Numbers(dict):
     """Numbers pieces as they are first asked for, and lists the new ones."""
 
@@ -68,6 +75,8 @@ class PieceTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.leads[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        feed = self.tokenizer.encode("a\na", add_special_tokens=False).ids
+        self.feed = feed[1] if len(feed) == 3 and feed[0] == feed[2] else None
         self._clear()
 
     def _clear(self) -> None:
@@ -103,7 +112,16 @@ class PieceTokenizer:
         for i in range(0, len(new), _CALL):
             part = new[i : i + _CALL]
             numbers = np.fromiter(map(known.__getitem__, part), np.int64, len(part))
-            ids = None
+            ids = counts = None
+            if not lead and self.feed is not None and all(map(_bare, part)):
+                # Words with a line feed between, which is one token.
+                ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                cut = np.flatnonzero(ids == self.feed)
+                if len(cut) == len(part) - 1:
+                    counts = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+                    ids = np.delete(ids, cut)
+                else:
+                    ids = None
             if lead:
                 # Pieces without a space inside: a token with a leading space starts each.
                 text = lead + lead.join(part)
@@ -135,28 +153,43 @@ class PieceTokenizer:
             self._clear()
         heads: list[str] = []
         tails: list[str] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if _unsafe(text):
-                parts = _CUT.split(text)
-                parts[1:] = [p[1:] for p in parts[1:]]
-            else:
-                parts = text.split(" ")
-            sizes[i] = len(parts)
-            heads.append(parts.pop(0))
-            tails += parts
+        sizes: list[int] = []  # pieces of each line, without line feeds
+        lines_of: list[int] = []
+        for text in texts:
+            lines = [text]
+            if self.feed is not None and "\n" in text:
+                lines = text.split("\n")
+                if not all(line and not line[0].isspace() and not line[-1].isspace() for line in lines):
+                    lines = [text]
+            for line in lines:
+                if _unsafe(line):
+                    parts = _CUT.split(line)
+                    parts[1:] = [p[1:] for p in parts[1:]]
+                else:
+                    parts = line.split(" ")
+                sizes.append(len(parts))
+                heads.append(parts.pop(0))
+                tails += parts
+            lines_of.append(len(lines))
+        # After each line but a text's last comes a line feed, after the last the end id, if there is one.
+        last = np.zeros(len(sizes), bool)
+        last[np.cumsum(lines_of, dtype=np.int64) - 1] = True
         ended = end_id is not None
-        sizes += ended
-        index = np.zeros(int(sizes.sum()), np.int64)
-        after = np.cumsum(sizes)
-        first = after - sizes
+        size = np.array(sizes, np.int64) + np.where(last, int(ended), 1)
+        after = np.cumsum(size)
+        first = after - size
+        index = np.empty(int(after[-1]) if len(after) else 0, np.int64)
         others = np.ones(len(index), bool)
         others[first] = False
         if ended:
-            others[after - 1] = False
-            index[after - 1] = self._end(end_id)
+            others[after[last] - 1] = False
+            index[after[last] - 1] = self._end(end_id)
+        if not last.all():
+            others[after[~last] - 1] = False
+            index[after[~last] - 1] = self._end(self.feed)
         index[first] = self._numbers(self.plain, heads, "")
         index[others] = self._numbers(self.spaced, tails, " ")
+        first = first[np.concatenate([[True], last[:-1]])] if len(first) else first  # of texts
         counts = self.count[index]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
