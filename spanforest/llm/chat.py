@@ -53,18 +53,19 @@ def paths(messages: DataFrame) -> DataFrame:
     answered = nodes.filter("parent is not null").select("conv", "parent").distinct()
     jump = written(nodes.filter("parent is not null").alias("n").join(known.alias("k"), F.expr("n.conv <=> k.c and n.parent <=> k.i"), "left_semi").select("conv", "id", F.col("parent").alias("to")), "jumps")
     leaves = nodes.alias("n").join(answered.alias("a"), F.expr("n.conv <=> a.conv and n.id <=> a.parent"), "left_anti").select("conv", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
-    found = written(leaves, "ways")
-    step, most = 1, messages.count()
-    while step <= most and not jump.isEmpty():
-        j = jump.select(F.col("conv").alias("c"), F.col("id").alias("i"), "to")
-        further = found.join(j, F.expr("conv <=> c and id <=> i")).select("conv", "leaf", F.col("to").alias("id"), (F.col("up") + step).alias("up"))
-        found = written(found.unionByName(further), "ways")
+    # No way is longer than its conversation: what still jumps after as many steps is in a ring or leads to one.
+    longest = messages.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    jumps = []
+    while not jump.isEmpty() and 1 << len(jumps) <= longest:
+        jumps.append(jump)
         second = jump.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("to").alias("beyond"))
         jump = written(jump.join(second, F.expr("conv <=> c and to <=> i")).select("conv", "id", F.col("beyond").alias("to")), "jumps")
-        step *= 2
-    if not jump.isEmpty():  # more steps than messages: rings
-        ring = jump.select(F.col("conv").alias("c"), F.col("id").alias("i"))
-        found = found.join(ring, F.expr("conv <=> c and leaf <=> i"), "left_anti")
+    ring = jump.select(F.col("conv").alias("c"), F.col("id").alias("i"))
+    found = written(leaves.join(ring, F.expr("conv <=> c and leaf <=> i"), "left_anti"), "ways")
+    for k, jump in enumerate(jumps):
+        j = jump.select(F.col("conv").alias("c"), F.col("id").alias("i"), "to")
+        further = found.join(j, F.expr("conv <=> c and id <=> i")).select("conv", "leaf", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up"))
+        found = written(found.unionByName(further), "ways")
     return found
 
 
