@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary, blocks, claim, ready, written
-from .tokens import TEXT_BYTES, loaded, vocabulary
+from .tokens import CACHE_PIECES, TEXT_BYTES, loaded, vocabulary
 
 TOKENS = "part long, doc_id {id}, start_in_part long, n_tokens long, ids binary"
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, opens boolean, closes boolean, ids binary"
@@ -35,13 +35,13 @@ def texts_of(column: pa.Array, at: int, to: int) -> list[str]:
     return [t or "" for t in column.slice(at, to - at).to_pylist()]
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, vocab: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, id_col: str, text_col: str, vocab: str, end_id: int, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """Ids (little-endian, 32 bits) of each row, with its partition and its start in it."""
 
     def run(batches):
         claim("tokens")
         part, total = TaskContext.get().partitionId(), 0
-        tokenizer = loaded(vocabulary(vocab))
+        tokenizer = loaded(vocabulary(vocab), cache_pieces)
         for batch in batches:
             offsets, _ = binary(batch.column(1))
             for at, to in blocks(offsets, TEXT_BYTES):
@@ -67,14 +67,14 @@ def pieces_of(starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.n
     return row, begin, end - begin
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", length: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", length: int = 1024, end_id: int = 0, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """The pieces of all sequences, with their ids.
 
     `opens` and `closes` say whether the piece holds its document's first and
     last token; a document with a piece that lacks one was cut at a border.
     Every sequence but the last has exactly `length` tokens.
     """
-    tokens = written(tokenised(docs, id_col, text_col, vocab, end_id), "tokens")
+    tokens = written(tokenised(docs, id_col, text_col, vocab, end_id, cache_pieces), "tokens")
     # A row for each partition of the input: the window's one task and the broadcast hold no more.
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     line = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import binary, blocks, claim, get, partitions_for, put, ready, shared_dir, written
 from .packing import texts_of
-from .tokens import TEXT_BYTES, loaded, vocabulary
+from .tokens import loaded, vocabulary
 
 MAGIC = b"RPG1"
 #: Ids in a shard before a new one begins: bounds a task's memory.
@@ -38,8 +38,8 @@ SHARD_TOKENS = 1 << 21
 #: Rounds of replacement, and how often a pair must occur to be replaced.
 ROUNDS, LEAST = 3, 8
 _SLOT_BITS = 18
-#: Compression leaves less time for tokenising: more pieces stay cached than elsewhere.
-CACHE_PIECES = 1_200_000
+#: Compression leaves less time for tokenising: more text at once and more cached pieces than elsewhere.
+TEXT_BYTES, CACHE_PIECES = 4 << 20, 1_200_000
 
 
 def _pairs(symbols: np.ndarray, wide: bool) -> np.ndarray:

@@ -22,7 +22,7 @@ from .common import CLEARED
 #: Distinct pieces kept by one Python worker, about 230 bytes each; above it the cache starts anew.
 CACHE_PIECES = 500_000
 #: Bytes of texts that are encoded in one call.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 #: Pieces that are encoded in one call.
 _CALL = 4096
 
