@@ -67,8 +67,8 @@ def pieces_of(starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.n
     return row, begin, end - begin
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", length: int = 1024, end_id: int = 0, cache_pieces: int = CACHE_PIECES) -> DataFrame:
-    """The pieces of all sequences, with their ids.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", length: int = 1024, end_id: int = 0, cache_pieces: int = CACHE_PIECES, with_ids: bool = True) -> DataFrame:
+    """The pieces of all sequences, with their ids (`with_ids`) or the ids' checksums alone.
 
     `opens` and `closes` say whether the piece holds its document's first and
     last token; a document with a piece that lacks one was cut at a border.
@@ -95,13 +95,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voc
             crc = np.fromiter((zlib.crc32(view[a:b]) for a, b in zip(at.tolist(), to.tolist(), strict=True)), np.int64, len(row))
             # The pieces of a batch are its ids, cut: their bytes stand in the same order.
             cut = np.concatenate([at, to[-1:]])
+            if not with_ids:
+                cut, data = cut * 0, data[:0]
             place = starts[row] + begin
             yield pa.record_batch(
                 [batch.column(0).take(pa.array(row)), *map(pa.array, (begin, size, crc, counts[row], place // length, place % length, begin == 0, begin + size == counts[row])), pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "opens", "closes", "ids"],
             )
 
-    return placed.mapInArrow(run, PIECES.format(id=tokens.schema["doc_id"].dataType.simpleString()))
+    pieces = placed.mapInArrow(run, PIECES.format(id=tokens.schema["doc_id"].dataType.simpleString()))
+    return pieces if with_ids else pieces.drop("ids")
 
 
 def sequences(pieces: DataFrame, *, length: int = 1024, pad_id: int = 0) -> DataFrame:

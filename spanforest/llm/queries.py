@@ -93,11 +93,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = repair.write_shards(table(spark, sf_dir, "documents"))
-    return repair.read_shards(manifest).drop("ids")
+    return repair.read_shards(manifest, with_ids=False)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

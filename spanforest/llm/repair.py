@@ -87,14 +87,15 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUND
         at = _slots(chosen)
         slot[at[::-1]] = np.arange(len(chosen), dtype=slot.dtype)[::-1]  # of two pairs in a slot the more frequent; the other has its turn in a later round
         hit = slot[_slots(pairs)]
-        match = (hit >= 0) & ~last[:-1]
+        match = np.append(chosen, chosen[:1])[hit] == pairs  # -1, no rule, looks at the last
+        match &= hit >= 0
+        match &= ~last[:-1]
         where = np.flatnonzero(match)
-        where = where[chosen[hit[where]] == pairs[where]]
         # In a run of matches that overlap, every second one is taken.
         lead = np.concatenate([[True], np.diff(where) > 1])
-        place = np.arange(len(where), dtype=np.int32)
-        run = np.maximum.accumulate(np.where(lead, place, np.int32(0)))
-        where = where[(place - run) & 1 == 0]
+        begin = np.flatnonzero(lead)
+        run = np.repeat((where[begin] & 1).astype(np.int8), np.diff(np.append(begin, len(where))))
+        where = where[(where & 1).astype(np.int8) == run]
         if not len(where):
             break
         rule = hit[where]
@@ -251,8 +252,11 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return manifest.join(bases, "part").select(manifest["*"], (F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"))
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids: every document, decoded from the files."""
+def read_shards(manifest: DataFrame, *, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids: every document, decoded from the files.
+
+    Without `with_ids` the ids are decoded and summed, and not handed on.
+    """
     ready(manifest.sparkSession)
 
     def run(batches):
@@ -265,9 +269,12 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 view = memoryview(ids).cast("B")
                 for at, to in blocks(cut * 4):
                     crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(cut[at:to].tolist(), cut[at + 1 : to + 1].tolist(), strict=True)]
-                    own = ids[cut[at] : cut[to]]
-                    data = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(((cut[at : to + 1] - cut[at]) * 4).astype(np.int32)), pa.py_buffer(own)])
+                    own, ends = ids[cut[at] : cut[to]], (cut[at : to + 1] - cut[at]) * 4
+                    if not with_ids:
+                        own, ends = own[:0], ends * 0
+                    data = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(own)])
                     yield pa.record_batch([pa.array(shard.doc_ids[at:to], mask=shard.nulls[at:to]), pa.array(start + cut[at:to]), pa.array(shard.counts[at:to]), pa.array(crc, pa.int64()), data], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     files = manifest.select("file", "start").repartition(partitions_for(manifest.sparkSession), "file")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    read = files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return read if with_ids else read.drop("ids")

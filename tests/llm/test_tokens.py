@@ -58,6 +58,8 @@ def test_packing(spark, tokenizer):
     assert sorted(by) == list(range(len(by))) and all(by[k] == 1024 for k in range(len(by) - 1))
     whole = packing.sequences(pieces, pad_id=9).collect()
     assert len(whole) == len(by) and all(len(r.ids) == 1024 and r.n_tokens == by[r.sequence_id] for r in whole)
+    plain = packing.pack(docs, with_ids=False)
+    assert "ids" not in plain.columns and sorted(map(repr, plain.collect())) == sorted(map(repr, pieces.drop("ids").collect()))
     assert packing.pack(docs.limit(0)).count() == 0
 
 
@@ -72,6 +74,8 @@ def test_shards(spark, tokenizer):
         ids = ids_of(tokenizer, known[r.doc_id], 2)
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), crc(ids))
         at += len(ids)
+    plain = repair.read_shards(manifest, with_ids=False).collect()
+    assert sorted(map(repr, plain)) == sorted(map(repr, repair.read_shards(manifest).drop("ids").collect()))
     assert repair.read_shards(repair.write_shards(docs.limit(0))).count() == 0
 
 
