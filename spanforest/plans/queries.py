@@ -21,11 +21,13 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str = "") -> Callable[[Query], Query]:
+    """Registers a function under its own or the given name."""
+
     def add(f: Query) -> Query:
-        _queries[f.__name__] = f
+        _queries[name or f.__name__] = f
         if sql is not None:
-            _sql[f.__name__] = sql
+            _sql[name or f.__name__] = sql
         return f
 
     return add
@@ -112,7 +114,7 @@ def graph_counts(spark, sf_dir):
     return out
 
 
-@query(f"select 'Edge from: ' || u || ' to: ' || v || ' weight: ' || cast(w as decimal(18,2)) as line from ({GRAPH_SQL['nation_trade']})")
+@query(f"select 'Edge from: ' || u || ' to: ' || v || ' weight: ' || cast(w as decimal(18,2)) as line from ({GRAPH_SQL['nation_trade']})", name="edge_text")
 def edge_text_lines(spark, sf_dir):
     return nation_trade(spark, sf_dir).select(edge_text(F.col("u"), F.col("v"), F.col("w").cast("decimal(18,2)")).alias("line"))
 
@@ -149,7 +151,7 @@ for _name, _graph in (("nation", nation_trade), ("supplier", supplier_balance),
     _sql[f"spanning_forest_{_name}"] = forest_sql(_graph.__name__)
 
 
-@query(kruskal_sql(GRAPH_SQL["part_supplier_sparse"], "select count(*) as edges, cast(sum(w) as double) as weight from st join k using (r) where keep"))
+@query(kruskal_sql(GRAPH_SQL["part_supplier_sparse"], "select count(*) as edges, cast(sum(w) as double) as weight from st join k using (r) where keep"), name="forest_weight")
 def forest_weight_sparse(spark, sf_dir):
     return forest_weight(minimum_spanning_forest(part_supplier_sparse(spark, sf_dir)).edges)
 
@@ -214,7 +216,7 @@ def run_log_mean(spark, sf_dir):
 @query(f"""with p as ({PARSED_SQL}), m as ({MEANS_SQL}), b as (select sum(usec) / count(*) as base from p where engine = 'sequential')
 select engine, workers, round(mean_usec, 3) as mean_usec, round(base / mean_usec, 6) as speedup,
   round(first_value(mean_usec) over (partition by engine order by workers) / mean_usec, 6) as scalability, round(base / mean_usec / workers, 6) as efficiency
-from m, b where engine <> 'sequential'""")
+from m, b where engine <> 'sequential'""", name="scaling_report")
 def scaling_table(spark, sf_dir):
     report = scaling_report(run_log_parse(spark, sf_dir), "sequential")
     return report.select("engine", "workers", F.round("mean_usec", 3).alias("mean_usec"), *(F.round(c, 6).alias(c) for c in ("speedup", "scalability", "efficiency")))
@@ -231,11 +233,8 @@ def jittered_weights(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    # The names under which the inventory lists them.
-    other = {"edge_text": "edge_text_lines", "forest_weight": "forest_weight_sparse", "scaling_report": "scaling_table"}
-    return {next((k for k, v in other.items() if v == n), n): f for n, f in _queries.items()}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    other = {"edge_text_lines": "edge_text", "forest_weight_sparse": "forest_weight", "scaling_table": "scaling_report"}
-    return {other.get(n, n): s for n, s in _sql.items()}
+    return dict(_sql)
