@@ -5,7 +5,7 @@ that is no letter as one border symbol. A multinomial model over trigrams picks
 the family; inside a family a linear support vector machine for each pair of
 languages votes. Both are trained here on a bounded sample of labelled rows:
 per language the rows with the smallest hash of their id, at most `per_language`
-rows and `sample_bytes` bytes (a first longer row is taken alone).
+rows and an equal part of `sample_bytes` bytes (a first longer row is taken alone).
 
 Defined results: `und` with score 0 for null texts, texts without a letter and
 when nothing was learned; equal scores go to the language that sorts first; a
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import binary, blocks, claim, fresh, ready
 
-PER_LANGUAGE, SAMPLE_BYTES = 1500, 6 << 20
+PER_LANGUAGE, SAMPLE_BYTES = 1500, 24 << 20
 UNKNOWN = "und"
 #: Families of languages by ISO 639-1 code. A language that is not here is a family of its own.
 FAMILIES = {
@@ -203,9 +203,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     near = low.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language)
     ids = near.select("id").distinct()
     sized = rows.join(F.broadcast(ids), "id").select("id", "language", F.octet_length("text").alias("size"), F.xxhash64("id").alias("h")).collect()
-    chosen, used = [], {}
+    chosen, used, most = [], {}, sample_bytes // max(1, len({r.language for r in sized}))
     for r in sorted(sized, key=lambda r: (r.language, r.h, r.id)):
-        if r.language not in used or used[r.language] + r.size <= sample_bytes:
+        if r.language not in used or used[r.language] + r.size <= most:
             used[r.language] = used.get(r.language, 0) + r.size
             chosen.append((r.id,))
     if not chosen:
