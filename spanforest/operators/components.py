@@ -50,13 +50,15 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, *,
     seen = _stamp(current)
     while seen[0] > finish_edges:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that both sides of the join come straight from a shuffle and Spark splits a hub's rows.
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smaller = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "links")
+        smaller = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(smaller, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).filter("u <> v").distinct()
         following = written(small, "links")
         stamp = _stamp(following)
-        forget(current)
+        forget(current, least, large, smaller)
         current = following
         if stamp == seen:
             break
