@@ -284,11 +284,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ready(docs.sparkSession)
     signed = written(signatures(docs, id_col, text_col, rows, bands), "signatures")
     named = signed.filter("id is not null")
-    classes = named.filter("size > 0").groupBy("same0", "same1", "size").agg(F.min("id").alias("first_id"))
+    # Sums are written before rows are joined with them: Spark splits a skewed join only where both sides come straight from a shuffle.
+    classes = written(named.filter("size > 0").groupBy("same0", "same1", "size").agg(F.min("id").alias("first_id")), "classes")
     members = named.select("id", "same0", "same1", "size").join(classes, ["same0", "same1", "size"], "left").select("id", F.coalesce("first_id", "id").alias("first_id"))
     firsts = signed.select("id", "bands").join(classes.select(F.col("first_id").alias("id")), "id", "left_semi")
     keyed = written(firsts.select("id", F.explode("bands").alias("key")).distinct(), "bands")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     placed = written(keyed.join(shared, "key").select("key", "id", "n"), "buckets")
     # Popularity, and beside it the smaller id as the larger number.
     rank = written(placed.groupBy("id").agg(F.sum("n").alias("popular")), "popularity")
@@ -297,10 +298,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi").dropDuplicates(["id"])
     sets = written(multisets(texts), "multisets")
 
-    center = placed.groupBy("key").agg(F.max("rank").alias("center"))
+    center = written(placed.groupBy("key").agg(F.max("rank").alias("center")), "centers")
     star = placed.select("key", "id").join(center, "key").groupBy("id").agg(F.max("center").alias("center")).select(F.col("center.id").alias("a"), F.col("id").alias("b")).filter("a <> b")
     links = written(verified(star, sets, similar), "near-links")
-    labels = connected_components(links, needed, u="a", v="b", finish_edges=0).select(F.col("vertex").alias("id"), F.col("component").alias("of"))
+    labels = connected_components(links, needed, u="a", v="b").select(F.col("vertex").alias("id"), F.col("component").alias("of"))
     labels = written(labels, "near-labels")
 
     at = placed.join(labels, "id")
@@ -311,13 +312,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     against = at.select("key", F.col("id").alias("b")).join(reference, "key").filter("a <> b").select("a", "b").distinct()
     differ = written(differences(against, sets, similar), "differences")
     links = links.unionByName(differ.filter("long = 0").select("a", "b", "similarity"))
-    labels = written(connected_components(links, needed, u="a", v="b", finish_edges=0).select(F.col("vertex").alias("b"), F.col("component").alias("of")), "near-labels")
+    labels = written(connected_components(links, needed, u="a", v="b").select(F.col("vertex").alias("b"), F.col("component").alias("of")), "near-labels")
     across = written(verified(candidates(differ, labels), sets, similar), "near-links")
-    groups = connected_components(across.unionByName(links), needed, u="a", v="b", finish_edges=0)
+    groups = connected_components(across.unionByName(links), needed, u="a", v="b")
 
     result = members.join(groups.select(F.col("vertex").alias("first_id"), "component"), "first_id", "left").select("id", F.coalesce("component", "first_id").alias("group_id")).distinct()
     result = written(result, "near-groups")
-    sizes = result.groupBy("group_id").agg(F.count("*").alias("group_size"))
+    sizes = written(result.groupBy("group_id").agg(F.count("*").alias("group_size")), "group-sizes")
     sized = result.join(sizes, "group_id").select("id", "group_id", "group_size")
     return docs.select(F.col(id_col).cast("long").alias("doc_id")).join(sized.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
 
