@@ -118,7 +118,8 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, begin, size, bytes of each chunk to remove: equal bytes stand earlier in the order."""
     chunks = written(chunk_table(docs, id_col, text_col).distinct(), "chunks")
-    often = chunks.groupBy("hash", "size").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Sums are written before rows are joined with them: Spark splits a skewed join only where both sides come straight from a shuffle.
+    often = written(chunks.groupBy("hash", "size").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-hashes")
     wanted = chunks.join(often, ["hash", "size"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("begin", "size", "hash")).alias("places"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).filter("text is not null")
 
@@ -134,7 +135,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fetched = texts.join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "doc_id long, places array<struct<begin: long, size: long, hash: long, bytes: binary>>")
     # A place in a row of the same id but another text has other bytes, of any size: it is no candidate.
     held = written(fetched.select("doc_id", F.inline("places")).filter(F.octet_length("bytes") == F.col("size")), "candidates")
-    first = held.groupBy("hash", "size").agg(F.min(F.struct("doc_id", "begin", "bytes")).alias("first"))
+    first = written(held.groupBy("hash", "size").agg(F.min(F.struct("doc_id", "begin", "bytes")).alias("first")), "first-chunks")
     twice = held.join(first, ["hash", "size"]).filter("bytes = first.bytes and (doc_id <> first.doc_id or begin <> first.begin)")
     return twice.select("doc_id", "begin", "size", F.col("bytes")).distinct()
 
