@@ -153,6 +153,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.cast("binary").alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     firsts = rows.filter(F.col("n") >= least).groupBy("digest", "n").agg(F.min("id").alias("first_id"), F.count("*").alias("many")).filter("many > 1").drop("many")
+    firsts = written(firsts, "first-pages")  # so that the join, straight from two shuffles, is one whose skew Spark splits
     planned = rows.join(firsts, ["digest", "n"], "left").select("id", "url", "payload", "digest", "first_id", (F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))).alias("revisit"))
 
     def run(batches):
