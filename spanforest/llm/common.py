@@ -72,12 +72,17 @@ def claim(operator: str) -> None:
     if _claimed not in ("", operator):
         for clear in CLEARED:
             clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory otherwise
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
     _claimed = operator
 
 
+def trim() -> None:
+    """Gives freed memory back, which glibc keeps otherwise."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, claim, fresh, ready
+from .common import binary, blocks, claim, fresh, ready, trim
 
 PER_LANGUAGE, SAMPLE_BYTES = 1500, 24 << 20
 UNKNOWN = "und"
@@ -214,7 +214,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     kind = rows.schema["id"].dataType.simpleString()
     got = rows.join(F.broadcast(spark.createDataFrame(chosen, f"id {kind}").distinct()), "id").filter(F.col("text").rlike("\\p{L}")).collect()
     got.sort(key=lambda r: (r.language, r.id, r.text))
-    return fit([r.text for r in got], [r.language for r in got])
+    model = fit([r.text for r in got], [r.language for r in got])
+    del got, sized, chosen
+    trim()  # the driver has other work after this
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", *, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
