@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(differ.filter("long = 0").select("a", "b", "similarity"))
     labels = written(connected_components(links, needed, u="a", v="b").select(F.col("vertex").alias("b"), F.col("component").alias("of")), "near-labels")
     across = written(verified(candidates(differ, labels), sets, similar), "near-links")
-    groups = connected_components(across.unionByName(links), needed, u="a", v="b")
+    groups = written(connected_components(across.unionByName(links), needed, u="a", v="b"), "near-labels")
 
     result = members.join(groups.select(F.col("vertex").alias("first_id"), "component"), "first_id", "left").select("id", F.coalesce("component", "first_id").alias("group_id")).distinct()
     result = written(result, "near-groups")
