@@ -25,9 +25,9 @@ __all__ = ["shared_dir", "swept", "written"]
 #: Bytes of text that a vectorised kernel looks at in one go; one longer text goes alone.
 BLOCK_BYTES = 1 << 20
 #: Bytes in one Arrow batch between the JVM and Python, where the session sets nothing else.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Rows in one, where the session has Spark's default of 10,000.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

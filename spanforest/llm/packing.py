@@ -35,7 +35,7 @@ def texts_of(column: pa.Array, at: int, to: int) -> list[str]:
     return [t or "" for t in column.slice(at, to - at).to_pylist()]
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, vocab: str, end_id: int, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def tokenised(docs: DataFrame, id_col: str, text_col: str, vocab: str, end_id: int, cache_pieces: int = CACHE_PIECES, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Ids (little-endian, 32 bits) of each row, with its partition and its start in it."""
 
     def run(batches):
@@ -44,7 +44,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocab: str, end_id: i
         tokenizer = loaded(vocabulary(vocab), cache_pieces)
         for batch in batches:
             offsets, _ = binary(batch.column(1))
-            for at, to in blocks(offsets, TEXT_BYTES):
+            for at, to in blocks(offsets, text_bytes):
                 whole, counts = tokenizer.encode(texts_of(batch.column(1), at, to), end_id)
                 cut = np.concatenate([[0], np.cumsum(counts)])
                 data = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(whole.astype("<u4"))])
@@ -67,14 +67,14 @@ def pieces_of(starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.n
     return row, begin, end - begin
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", length: int = 1024, end_id: int = 0, cache_pieces: int = CACHE_PIECES, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", length: int = 1024, end_id: int = 0, cache_pieces: int = CACHE_PIECES, text_bytes: int = TEXT_BYTES, with_ids: bool = True) -> DataFrame:
     """The pieces of all sequences, with their ids (`with_ids`) or the ids' checksums alone.
 
     `opens` and `closes` say whether the piece holds its document's first and
     last token; a document with a piece that lacks one was cut at a border.
     Every sequence but the last has exactly `length` tokens.
     """
-    tokens = written(tokenised(docs, id_col, text_col, vocab, end_id, cache_pieces), "tokens")
+    tokens = written(tokenised(docs, id_col, text_col, vocab, end_id, cache_pieces, text_bytes), "tokens")
     # A row for each partition of the input: the window's one task and the broadcast hold no more.
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     line = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
