@@ -38,7 +38,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 1024 tokens, with their ids."""
-    return packing.pack(docs, cache_pieces=250_000)  # workers that have run all stages have less memory to spare
+    return packing.pack(docs, cache_pieces=100_000, text_bytes=1 << 20)  # workers that have run all stages have less memory to spare
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
