@@ -84,7 +84,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_repeated(table(spark, sf_dir, "documents"))
+    return line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,3 +163,57 @@ def test_borders_find_themselves_again_after_a_shift():
     shifted = ["new"] * 3 + lines[:200] + ["inserted"] + lines[200:]
     b = {tuple(shifted[x:y]) for x, y in brute_chunks("\n".join(shifted))}
     assert len(a & b) > 0.9 * len(a)
+
+
+def brute_repeats(rows):
+    """Every run of lines that stands at an earlier place, lengthened line by line as far as both places agree."""
+    texts = sorted((i, t.split("\n")) for i, t in rows if i is not None and t is not None)
+    places, out = {}, {}
+    for i, lines in texts:
+        for k, line in enumerate(lines):
+            places.setdefault(line, []).append((i, k))
+    docs = dict(texts)
+    for i, lines in texts:
+        gone = set()
+        for k, line in enumerate(lines):
+            for j, m in places[line]:
+                if (j, m) >= (i, k):
+                    break
+                other, n = docs[j], 0
+                while k + n < len(lines) and m + n < len(other) and lines[k + n] == other[m + n]:
+                    n += 1
+                # White space alone is no repeat; at its ends one such line goes along.
+                told = [x for x in range(k, k + n) if lines[x].strip()]
+                a, b = (max(k, told[0] - 1), min(k + n, told[-1] + 2)) if told else (k, k)
+                if b - a >= 2 or b - a == 1 and len(lines[a].split()) > 50:
+                    gone |= set(range(a, b))
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len([k for k in gone if k - 1 not in gone]), len(gone))
+    return out
+
+
+def test_repeats_of_few_lines_go_whatever_stands_around_them(spark):
+    rng = random.Random(31)
+    say = lambda n: " ".join("".join(rng.choice(string.ascii_letters) for _ in range(5)) for _ in range(n))
+    rows, passages = [], {}
+    for n in range(1, 9):
+        for k in range(12):
+            passages[n, k] = [say(60 // n + 1) for _ in range(n)]
+            for copy in range(2):
+                lines = [say(8) for _ in range(rng.randint(0, 7))]
+                at = rng.randint(0, len(lines))
+                rows.append((1000 * copy + 20 * n + k, "\n".join(lines[:at] + passages[n, k] + lines[at:])))
+    for i in range(2000, 2150):  # few different lines: repeats that overlap, and white space
+        rows.append((i, "\n".join(rng.choice(["", "", " ", "a", "b", "c\r", say(3), say(55)] if i % 2 else ["", "a"]) for _ in range(rng.randint(1, 12)))))
+    rows += [(3000, None), (3001, ""), (3002, "\n" * 500), (3003, "\n" * 500), (3004, "one line"), (3005, "one line"), (3006, "a\r\n" * 300), (None, rows[0][1]), (40, dict(rows)[40]), (3007, "same\nsame\n" * 20)]
+    docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, size int").repartition(5)
+    got = line_dedup.drop_repeats(docs).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for (n, k), lines in passages.items():
+        assert "\n".join(lines) in by[20 * n + k].text and not any(x in by[1000 + 20 * n + k].text for x in lines), (n, k)
+    want = brute_repeats(set(rows))
+    for r in got:
+        if r.doc_id in want:
+            assert (r.text, r.n_lines, r.n_chunks_removed, r.n_lines_removed) == want[r.doc_id], r.doc_id
+    assert by[3000].text is None and by[None].text == rows[0][1] and by[3004].text == by[3005].text == "one line"
+    assert line_dedup.drop_repeats(docs.limit(0)).count() == 0
