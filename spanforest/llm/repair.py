@@ -2,7 +2,7 @@
 
 Documents stand in ascending id order, cut into shards of bounded size. In each
 shard frequent pairs of neighbouring symbols are replaced by new symbols, round
-after round; a rule is a pair of symbols made before it. The shard file keeps
+after round until no pair is; a rule is a pair of symbols made before it. The shard file keeps
 the rules and how many ids each rule's symbol stands for, so a document, or an
 id inside one, is reached without decoding what comes before it. Pairs never
 cross documents.
@@ -10,6 +10,7 @@ cross documents.
 Layout of a shard (little-endian): magic, seven 64-bit counts, ids of documents
 (64 bits) with a null mask, ids and symbols per document (32 bits), rules (two
 symbols each), expansion lengths (32 bits), symbols, CRC-32 of all before it.
+Symbols are written as their low 16 bits, then a plane for each higher bit.
 
 Defined results: null and empty texts have the end id alone; a null id sorts
 first and stays null; repeated rows are written as often as they stand there,
@@ -32,20 +33,19 @@ from .common import binary, blocks, claim, get, partitions_for, put, ready, shar
 from .packing import texts_of
 from .tokens import loaded, vocabulary
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: Ids in a shard before a new one begins: bounds a task's memory.
 SHARD_TOKENS = 1 << 21
-#: Rounds of replacement, and how often a pair must occur to be replaced.
-ROUNDS, LEAST = 3, 8
+#: Rounds of replacement (None: until no pair occurs often enough), and how often a pair must occur to be replaced.
+ROUNDS, LEAST = None, 8
 _SLOT_BITS = 18
 #: Compression leaves less time for tokenising: more text at once and more cached pieces than elsewhere.
 TEXT_BYTES, CACHE_PIECES = 4 << 20, 1_200_000
 
 
-def _pairs(symbols: np.ndarray, wide: bool) -> np.ndarray:
-    if wide:
-        return symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:].astype(np.uint64)
-    return symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:].astype(np.uint32)
+def _pairs(symbols: np.ndarray, place: np.ndarray, wide: bool) -> np.ndarray:
+    kind, half = (np.uint64, 32) if wide else (np.uint32, 16)
+    return symbols[place].astype(kind) << kind(half) | symbols[place + 1].astype(kind)
 
 
 def _slots(pairs: np.ndarray) -> np.ndarray:
@@ -54,65 +54,79 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
     return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.uint32)
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int | None = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols per document, rules) for documents of `counts` ids each, all below `base`.
 
-    Each round counts every pair inside documents exactly and replaces the most
-    frequent ones, occurrences that overlap from left to right.
+    Each round counts every pair inside documents exactly and replaces those that
+    occur `least` times, until none does or `rounds` are over. Where occurrences
+    overlap the more frequent pair has its way, in runs of one pair from left to
+    right; a pair that is left with too few has its turn in a later round.
     """
-    room = (1 << 16) - base
-    wide = room < 1024
-    room = room if not wide else 1 << 20
+    wide = base > (1 << 16) - 1024
     symbols = ids.astype(np.uint32 if wide else np.uint16)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(counts)[counts > 0] - 1] = True
     rules: list[np.ndarray] = []
-    made = 0
-    for turn in range(rounds):
-        if len(symbols) < 2 or made >= room:
+    made = turn = new = 0
+    # Places where a pair can have become frequent: beside a symbol of the last round, or left over from it.
+    left = np.ones(len(symbols), bool)
+    while (rounds is None or turn < rounds) and len(symbols) > 1:
+        turn += 1
+        left[:-1] |= left[1:] & (symbols[1:] >= base + new)
+        place = np.flatnonzero(left[:-1] & ~last[:-1])
+        pairs = _pairs(symbols, place, wide)
+        found, often = _frequent(pairs, least)
+        if not len(found):
             break
-        pairs = _pairs(symbols, wide)
-        inside = np.sort(pairs[~last[:-1]])
-        if not len(inside):
-            break
-        edge = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
-        often = np.diff(np.append(edge, len(inside)))
-        found = inside[edge]
-        good = np.flatnonzero(often >= least)
-        if not len(good):
-            break
-        good = good[np.lexsort((found[good], -often[good]))][: max(1, (room - made) // (rounds - turn))]
-        chosen = found[good]
-        slot = np.full(1 << _SLOT_BITS, -1, np.int16 if room < 1 << 15 else np.int32)
+        if not wide and base + made + len(found) > 1 << 16:
+            wide, symbols = True, symbols.astype(np.uint32)
+            pairs, found = _pairs(symbols, place, wide), found.astype(np.uint64) >> np.uint64(16) << np.uint64(32) | found & np.uint64(0xFFFF)
+        chosen = found[np.lexsort((found, -often))]
+        slot = np.full(1 << _SLOT_BITS, -1, np.int32)
         at = _slots(chosen)
         slot[at[::-1]] = np.arange(len(chosen), dtype=slot.dtype)[::-1]  # of two pairs in a slot the more frequent; the other has its turn in a later round
         hit = slot[_slots(pairs)]
-        match = np.append(chosen, chosen[:1])[hit] == pairs  # -1, no rule, looks at the last
+        again = place[hit >= 0]
+        match = chosen[hit] == pairs  # -1, no rule, looks at the last
         match &= hit >= 0
-        match &= ~last[:-1]
-        where = np.flatnonzero(match)
-        # In a run of matches that overlap, every second one is taken.
-        lead = np.concatenate([[True], np.diff(where) > 1])
-        begin = np.flatnonzero(lead)
+        rank = np.full(len(symbols), len(chosen), np.int32)
+        rank[place[match]] = hit[match]
+        # Places of rank not above their neighbours'; of runs of one pair every second place.
+        good = rank < len(chosen)
+        good[1:] &= rank[1:] <= rank[:-1]
+        good[:-1] &= rank[:-1] <= rank[1:]
+        where = np.flatnonzero(good)
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(where) > 1]))
         run = np.repeat((where[begin] & 1).astype(np.int8), np.diff(np.append(begin, len(where))))
         where = where[(where & 1).astype(np.int8) == run]
-        if not len(where):
-            break
-        rule = hit[where]
-        used = np.bincount(rule, minlength=len(chosen)) > 0
+        rank = rank[where]
+        used = np.bincount(rank, minlength=len(chosen)) >= max(1, least // 2)
+        used[rank.min()] = True  # so that every round replaces something
+        where, rank = where[used[rank]], rank[used[rank]]
         rules.append(np.stack([symbols_of(chosen[used], wide, 0), symbols_of(chosen[used], wide, 1)], 1))
-        symbols[where] = (base + made - 1 + np.cumsum(used)).astype(symbols.dtype)[rule]
+        symbols[where] = (base + made - 1 + np.cumsum(used)).astype(symbols.dtype)[rank]
+        new = made
         made += int(used.sum())
+        left = np.zeros(len(symbols), bool)
+        left[again] = left[where] = True
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
         last[where] = last[where + 1]
-        symbols, last = symbols[keep], last[keep]
+        symbols, last, left = symbols[keep], last[keep], left[keep]
     ends = np.flatnonzero(last) + 1
     per = np.zeros(len(counts), np.int64)
     per[counts > 0] = np.diff(np.concatenate([[0], ends]))
     return symbols, per, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
+def _frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, how often) of those that occur `least` times."""
+    line = np.sort(pairs)
+    edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
+    often = np.diff(np.append(edge, len(line)))
+    return line[edge[often >= least]], often[often >= least]
+
+
 def symbols_of(pairs: np.ndarray, wide: bool, side: int) -> np.ndarray:
     half = 32 if wide else 16
     pairs = pairs.astype(np.uint64)
@@ -145,14 +159,32 @@ def _expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return symbols
 
 
-def dump(doc_ids: np.ndarray, nulls: np.ndarray, ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS) -> bytes:
+def _packed(numbers: np.ndarray, bits: int) -> bytes:
+    """The low 16 bits of each number, then a plane of one bit each for every higher one."""
+    numbers = numbers.astype(np.uint32)
+    return b"".join([numbers.astype("<u2").tobytes(), *(np.packbits((numbers >> np.uint32(k) & np.uint32(1)).astype(bool)).tobytes() for k in range(16, bits))])
+
+
+def _unpacked(data: bytes, count: int, at: int, bits: int) -> np.ndarray:
+    low = np.frombuffer(data, "<u2", count, at)
+    if bits == 16:
+        return low
+    out, at = low.astype(np.uint32), at + low.nbytes
+    for k in range(16, bits):
+        plane = np.frombuffer(data, np.uint8, -(-count // 8), at)
+        out |= np.unpackbits(plane, count=count).astype(np.uint32) << np.uint32(k)
+        at += plane.nbytes
+    return out
+
+
+def dump(doc_ids: np.ndarray, nulls: np.ndarray, ids: np.ndarray, counts: np.ndarray, base: int, rounds: int | None = ROUNDS) -> bytes:
     symbols, per, rules = compress(ids, counts, base, rounds)
     size = expansion_lengths(rules, base)
-    kind = symbols.dtype.newbyteorder("<")
+    bits = max(16, (max(base, int(ids.max(initial=0)) + 1) + len(rules) - 1).bit_length())
     body = b"".join([
-        MAGIC, struct.pack("<7Q", len(doc_ids), len(ids), len(symbols), len(rules), base, kind.itemsize, rounds),
+        MAGIC, struct.pack("<7Q", len(doc_ids), len(ids), len(symbols), len(rules), base, bits, (1 << 64) - 1 if rounds is None else rounds),
         doc_ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), counts.astype("<u4").tobytes(), per.astype("<u4").tobytes(),
-        rules.astype(kind).tobytes(), size.astype("<u4").tobytes(), symbols.astype(kind).tobytes(),
+        _packed(rules.reshape(-1), bits), size.astype("<u4").tobytes(), _packed(symbols, bits),
     ])
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -174,11 +206,11 @@ class Shard:
     def load(cls, data: bytes) -> Shard:
         if data[:4] != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError("no whole shard file")
-        n, _, symbols, rules, base, width, _ = struct.unpack_from("<7Q", data, 4)
+        n, _, symbols, rules, base, bits, _ = struct.unpack_from("<7Q", data, 4)
         at, got = 60, []
-        for count, kind in ((n, "<i8"), (n, "u1"), (n, "<u4"), (n, "<u4"), (2 * rules, f"<u{width}"), (rules, "<u4"), (symbols, f"<u{width}")):
-            got.append(np.frombuffer(data, kind, count, at))
-            at += got[-1].nbytes
+        for count, kind in ((n, "<i8"), (n, "u1"), (n, "<u4"), (n, "<u4"), (2 * rules, ""), (rules, "<u4"), (symbols, "")):
+            got.append(np.frombuffer(data, kind, count, at) if kind else _unpacked(data, count, at, bits))
+            at += got[-1].nbytes if kind else 2 * count + (bits - 16) * (-(-count // 8))
         ids, nulls, counts, per, pairs, size, line = got
         return cls(ids, nulls.astype(bool), counts.astype(np.int64), per.astype(np.int64), pairs.reshape(-1, 2).astype(np.uint32), size.astype(np.int64), line, base)
 
@@ -186,6 +218,8 @@ class Shard:
         """The ids of all documents, in their order."""
         if not len(self.rules):
             return self.symbols.astype(np.uint32)
+        if int(self.size.sum()) > 4 * int(self.counts.sum()):  # long rules made of long rules: the table would be larger than the text
+            return _expand(self.symbols, self.rules, self.base)
         # What each symbol stands for, all symbols in a row; an id stands for itself.
         flat = np.concatenate([np.arange(self.base, dtype=np.uint32), _expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32), self.rules, self.base)])
         size = np.concatenate([np.ones(self.base, np.int64), self.size])
@@ -209,7 +243,7 @@ class Shard:
         return _expand(line[first:last], self.rules, self.base)[skip : skip + max(0, end - begin)]
 
 
-def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", end_id: int = 2, base: int = 50257, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS, cache_pieces: int = CACHE_PIECES, folder: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", end_id: int = 2, base: int = 50257, shard_tokens: int = SHARD_TOKENS, rounds: int | None = ROUNDS, cache_pieces: int = CACHE_PIECES, folder: str | None = None) -> DataFrame:
     """Writes all documents; the manifest has a row a shard: part, shard, file, n_docs, n_tokens, n_bytes, start."""
     spark = docs.sparkSession
     ready(spark)

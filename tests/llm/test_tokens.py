@@ -102,3 +102,37 @@ def test_grammar_compresses_and_detects_damage():
     assert len(data) < 1500
     with pytest.raises(ValueError):
         repair.Shard.load(data[:-9] + b"123456789")
+
+
+def frequent_pairs(symbols, per, least):
+    counts, at = {}, 0
+    for n in per.tolist():
+        own = symbols[at : at + n].tolist()
+        for pair in zip(own, own[1:], strict=False):
+            counts[pair] = counts.get(pair, 0) + 1
+        at += n
+    return {p for p, n in counts.items() if n >= least}
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    hot = rng.integers(0, 50000, 300)
+    docs = [np.append(hot, 2) for _ in range(400)]
+    # More rules than 16 bits have room for: 17,000 pairs, eight times each.
+    pairs = rng.permutation(50000)[:34000].reshape(-1, 2)
+    docs += [np.concatenate([np.append(p, rng.integers(0, 50257)) for p in pairs[rng.permutation(len(pairs))]]) for _ in range(8)]
+    docs += [rng.integers(0, 40, 20000), np.full(5000, 7)]
+    counts, flat = np.array(list(map(len, docs))), np.concatenate(docs).astype(np.uint32)
+    symbols, per, rules = repair.compress(flat, counts, 50257)
+    assert not frequent_pairs(symbols, per, repair.LEAST) and len(rules) > 15279
+    assert per[:400].tolist() == [1] * 400 and repair.expansion_lengths(rules, 50257).max() >= 301
+    shard = repair.Shard.load(repair.dump(np.arange(len(docs)), np.zeros(len(docs), bool), flat, counts, 50257))
+    assert shard.all().tolist() == flat.tolist() and shard.document(399).tolist() == docs[399].tolist() and shard.part(3, 17, 290).tolist() == docs[3][17:290].tolist()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=60), max_size=8), st.sampled_from([3, 50257, 65530]))
+def test_no_frequent_pair_is_left(docs, base):
+    counts = np.array(list(map(len, docs)), np.int64)
+    symbols, per, _ = repair.compress(np.array([x for d in docs for x in d], np.uint32), counts, base, least=2)
+    assert not frequent_pairs(symbols, per, 2)
