@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import warnings
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -33,6 +34,8 @@ from .common import claim, get, partitions_for, put, ready, shared_dir, written
 LEAST = 100
 FILE_BYTES = 32 << 20
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 64 << 10, 2000, 8 << 20
+#: Characters of a page that the sample takes, so that no long page fills it: at most four bytes each, 32 pages at least.
+PAGE_CHARS = SAMPLE_BYTES // 128
 LEVEL = 6
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -129,18 +132,17 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _sampled(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> list[bytes]:
-    """Records of the rows whose hashes are smallest: at most SAMPLE_ROWS and SAMPLE_BYTES."""
-    order = F.xxhash64(id_col, url_col)
-    rows = pages.select(order.alias("h"), F.col(id_col).alias("id"), F.coalesce(F.octet_length(html_col), F.lit(0)).alias("n")).orderBy("h", "id").limit(SAMPLE_ROWS).collect()
-    total, ids = 0, []
-    for r in rows:
-        total += r.n
-        if total > SAMPLE_BYTES:
+    """Records of the rows whose hashes are smallest: at most SAMPLE_ROWS and SAMPLE_BYTES, each page's text cut after PAGE_CHARS characters."""
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.substring(F.coalesce(F.col(html_col).cast("string"), F.lit("")), 1, PAGE_CHARS).alias("html"), F.xxhash64(id_col, url_col).alias("h"))
+    sizes = rows.select("h", "id", F.octet_length("html").alias("n")).orderBy("h", "id", "n").limit(SAMPLE_ROWS).collect()
+    total, many = 0, 0
+    for r in sizes:
+        if total + r.n > SAMPLE_BYTES:
             break
-        ids.append(r.h)
-    if not ids:
+        total, many = total + r.n, many + 1
+    if not many:
         return []
-    got = pages.filter(order <= ids[-1]).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), order.alias("h")).orderBy("h", "id").limit(len(ids)).collect()
+    got = rows.filter(F.col("h") <= sizes[many - 1].h).orderBy("h", "id", F.octet_length("html")).limit(many).collect()
     return [record(r.id, r.url, p := r.html.encode(), hashlib.sha256(p).hexdigest(), None, False) for r in got]
 
 
@@ -149,7 +151,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     spark = pages.sparkSession
     ready(spark)
     folder = folder or shared_dir(spark, "warc")
-    dictionary = spark.sparkContext.broadcast(train(_sampled(pages, id_col, url_col, html_col)))
+    sample = _sampled(pages, id_col, url_col, html_col)
+    trained = train(sample)
+    if not trained and len(sample) >= 8:
+        warnings.warn(f"no dictionary could be trained on {len(sample)} records of {sum(map(len, sample))} bytes: files are written without", stacklevel=2)
+    dictionary = spark.sparkContext.broadcast(trained)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.cast("binary").alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     firsts = rows.filter(F.col("n") >= least).groupBy("digest", "n").agg(F.min("id").alias("first_id"), F.count("*").alias("many")).filter("many > 1").drop("many")

@@ -217,3 +217,17 @@ def test_repeats_of_few_lines_go_whatever_stands_around_them(spark):
             assert (r.text, r.n_lines, r.n_chunks_removed, r.n_lines_removed) == want[r.doc_id], r.doc_id
     assert by[3000].text is None and by[None].text == rows[0][1] and by[3004].text == by[3005].text == "one line"
     assert line_dedup.drop_repeats(docs.limit(0)).count() == 0
+
+
+def test_a_very_long_page_leaves_the_archive_its_dictionary(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, f"u{i}", page(rng, 60)) for i in range(60)]
+    docs = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string")
+    order = docs(rows).selectExpr("page_id", "xxhash64(page_id, url) as h").orderBy("h").collect()
+    first = order[0].page_id  # the page that a sample begins with
+    rows[first] = (first, f"u{first}", "<p>" + "é" * 5_000_000)
+    pages = docs(rows).repartition(2)
+    sample = warc._sampled(pages, "page_id", "url", "html")
+    assert len(sample) == 60 and sum(map(len, sample)) < warc.SAMPLE_BYTES
+    for f in warc.write_archives(pages, folder=(tmp_path / "w").as_uri()).collect():
+        assert get(f.file)[:4] == bytes.fromhex("5D2A4D18")
