@@ -1,11 +1,11 @@
 """Token-id files compressed by Re-Pair grammars, with random access.
 
 Documents stand in ascending id order, cut into shards of bounded size. In each
-shard frequent pairs of neighbouring symbols are replaced by new symbols, round
-after round until no pair is; a rule is a pair of symbols made before it. The shard file keeps
-the rules and how many ids each rule's symbol stands for, so a document, or an
-id inside one, is reached without decoding what comes before it. Pairs never
-cross documents.
+shard the most frequent pair of neighbouring symbols is replaced by a new symbol,
+again and again until no pair is frequent; a rule is a pair of symbols made
+before it. The shard file keeps the rules and how many ids each rule's symbol
+stands for, so a document, or an id inside one, is reached without decoding what
+comes before it. Pairs never cross documents.
 
 Layout of a shard (little-endian): magic, seven 64-bit counts, ids of documents
 (64 bits) with a null mask, ids and symbols per document (32 bits), rules (two
@@ -33,104 +33,153 @@ from .common import binary, blocks, claim, get, partitions_for, put, ready, shar
 from .packing import texts_of
 from .tokens import loaded, vocabulary
 
-MAGIC = b"RPG2"
+MAGIC = b"RPG3"
 #: Ids in a shard before a new one begins: bounds a task's memory.
 SHARD_TOKENS = 1 << 21
-#: Rounds of replacement (None: until no pair occurs often enough), and how often a pair must occur to be replaced.
-ROUNDS, LEAST = None, 8
-_SLOT_BITS = 18
+#: How often a pair must occur to be replaced.
+LEAST = 8
 #: Compression leaves less time for tokenising: more text at once and more cached pieces than elsewhere.
 TEXT_BYTES, CACHE_PIECES = 4 << 20, 1_200_000
 
 
-def _pairs(symbols: np.ndarray, place: np.ndarray, wide: bool) -> np.ndarray:
-    kind, half = (np.uint64, 32) if wide else (np.uint32, 16)
-    return symbols[place].astype(kind) << kind(half) | symbols[place + 1].astype(kind)
-
-
-def _slots(pairs: np.ndarray) -> np.ndarray:
-    if pairs.dtype == np.uint32:
-        return (pairs * np.uint32(2654435761)) >> np.uint32(32 - _SLOT_BITS)
-    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.uint32)
+class _Pairs:
+    """The pairs of a line of symbols that occur often enough, with their exact counts and places.
 
+    A pair can only become frequent when one of its symbols is made, so pairs
+    that were too few then are never looked at again, and every other count is
+    kept up to date. For a symbol beside itself, whose occurrences can overlap,
+    the count is a bound until the pair is the next to be replaced.
+    """
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int | None = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, base: int, least: int):
+        self.n, self.base, self.least = len(ids), base, least
+        n = self.n
+        self.symbol = np.zeros(n + 1, np.uint32)
+        self.symbol[:n] = ids
+        # Places of the neighbours in the same document; n is none.
+        self.after, self.before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        ends = np.cumsum(counts)[counts > 0]
+        self.after[ends - 1] = self.after[n] = n
+        self.before[0] = self.before[ends] = n
+        self.gone = np.zeros(n, bool)
+        self.pair_at = np.full(n + 1, -1, np.int32)  # of each place: its pair, if it is frequent
+        self.often, self.pair, self.twin = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, bool)
+        self.lots: list[np.ndarray] = []  # places, those of a pair in a row: its lot, where they begin there and where they end
+        self.lot, self.begin, self.end = np.zeros((3, 1 << 12), np.int64)
+        self.known = self.made = 0
+        self._list(np.flatnonzero(self.after[:n] < n))
+
+    def _list(self, at: np.ndarray) -> None:
+        """Lists the pairs at the given places, all of them new."""
+        if not len(at):
+            return
+        bits, places = max(1, (self.base + self.made).bit_length()), self.n.bit_length()
+        key = self.symbol[at].astype(np.uint64) << np.uint64(bits) | self.symbol[self.after[at]]
+        if 2 * bits + places <= 64:  # sorting numbers takes a fraction of the time of sorting their order
+            line = np.sort(key << np.uint64(places) | at.astype(np.uint64))
+            line = line[np.concatenate([[True], line[1:] != line[:-1]])]
+            key, at = line >> np.uint64(places), line & np.uint64((1 << places) - 1)
+        else:
+            at, first = np.unique(at, return_index=True)
+            order = np.argsort(key[first], kind="stable")
+            key, at = key[first][order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        many = np.diff(np.append(first, len(key)))
+        first, many = first[many >= self.least], many[many >= self.least]
+        new = len(first)
+        if not new:
+            return
+        while self.known + new > len(self.often):
+            for name in ("often", "pair", "twin", "lot", "begin", "end"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        own, key = slice(self.known, self.known + new), key[first]
+        left, right = key >> np.uint64(bits), key & np.uint64((1 << bits) - 1)
+        ends = np.cumsum(many)
+        self.often[own], self.pair[own], self.twin[own] = many, left << np.uint64(32) | right, left == right
+        self.lot[own], self.begin[own], self.end[own] = len(self.lots), ends - many, ends
+        at = at[np.repeat(first - (ends - many), many) + np.arange(int(ends[-1]))].astype(np.int32)
+        self.pair_at[at] = np.repeat(np.arange(self.known, self.known + new, dtype=np.int32), many)
+        self.lots.append(at)
+        self.known += new
+
+    def _places(self, pair: int) -> np.ndarray:
+        """The places a pair was listed at, or of a symbol beside itself those that don't overlap now."""
+        at = self.lots[self.lot[pair]][self.begin[pair] : self.end[pair]]
+        if self.twin[pair]:
+            at = at[self.pair_at[at] == pair]
+            place = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(self.pair_at[self.before[at]] != pair, place, 0))
+            at = at[(place - run) % 2 == 0]
+        return at
+
+    def replace_most_frequent(self) -> np.ndarray | None:
+        """Replaces the most frequent pairs; returns them, or None if no pair is frequent.
+
+        Of pairs with the same count those are taken together whose places
+        can't overlap, as no right symbol of one is the left symbol of another:
+        one after the other they would do the same.
+        """
+        top = int(self.often[: self.known].max()) if self.known else 0
+        if top < self.least:
+            return None
+        tied = np.flatnonzero(self.often[: self.known] == top)
+        taken, held, lefts, rights = [], [], set(), set()
+        left, right = (self.pair[tied] >> np.uint64(32)).tolist(), (self.pair[tied] & np.uint64(0xFFFFFFFF)).tolist()
+        for p, a, b in zip(tied.tolist(), left, right, strict=True):
+            if a in rights or b in lefts or a == b and a in lefts:
+                continue
+            at = self._places(p)
+            if a == b and len(at) < top:
+                self.often[p] = len(at)
+                continue
+            taken.append(p)
+            held.append(at)
+            lefts.add(a)
+            rights.add(b)
+        if not taken:
+            return np.zeros(0, np.uint64)
+        pairs = np.array(taken, np.int32)
+        at, rule = np.concatenate(held), np.repeat(np.arange(len(taken), dtype=np.uint32), list(map(len, held)))
+        live = self.pair_at[at] == pairs[rule]
+        at, rule = at[live], rule[live]
+        second = self.after[at]
+        beyond = self.after[second]
+        self.often[pairs] = 0
+        self.symbol[at] = rule + np.uint32(self.base + self.made)
+        self.made += len(pairs)
+        # The pairs on both sides are no more; one between two places that are replaced counts once.
+        self.pair_at[at] = -1
+        lost = [self.pair_at[second]]
+        self.pair_at[second] = -1
+        lost.append(self.pair_at[self.before[at]])
+        self.pair_at[self.before[at]] = -1
+        lost = np.concatenate(lost)
+        lost = lost[lost >= 0]
+        np.subtract.at(self.often, lost[~self.twin[lost]], 1)
+        self.gone[second] = True
+        self.after[at] = beyond
+        self.before[beyond] = at
+        ahead = self.before[at]
+        self._list(np.concatenate([ahead[ahead < self.n], at[beyond < self.n]]))
+        return self.pair[pairs]
+
+
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols per document, rules) for documents of `counts` ids each, all below `base`.
 
-    Each round counts every pair inside documents exactly and replaces those that
-    occur `least` times, until none does or `rounds` are over. Where occurrences
-    overlap the more frequent pair has its way, in runs of one pair from left to
-    right; a pair that is left with too few has its turn in a later round.
+    The most frequent pair is replaced, counts are brought up to date, and so on
+    until no pair occurs `least` times (occurrences that overlap count once).
     """
-    wide = base > (1 << 16) - 1024
-    symbols = ids.astype(np.uint32 if wide else np.uint16)
-    last = np.zeros(len(ids), bool)
-    last[np.cumsum(counts)[counts > 0] - 1] = True
-    rules: list[np.ndarray] = []
-    made = turn = new = 0
-    # Places where a pair can have become frequent: beside a symbol of the last round, or left over from it.
-    left = np.ones(len(symbols), bool)
-    while (rounds is None or turn < rounds) and len(symbols) > 1:
-        turn += 1
-        left[:-1] |= left[1:] & (symbols[1:] >= base + new)
-        place = np.flatnonzero(left[:-1] & ~last[:-1])
-        pairs = _pairs(symbols, place, wide)
-        found, often = _frequent(pairs, least)
-        if not len(found):
-            break
-        if not wide and base + made + len(found) > 1 << 16:
-            wide, symbols = True, symbols.astype(np.uint32)
-            pairs, found = _pairs(symbols, place, wide), found.astype(np.uint64) >> np.uint64(16) << np.uint64(32) | found & np.uint64(0xFFFF)
-        chosen = found[np.lexsort((found, -often))]
-        slot = np.full(1 << _SLOT_BITS, -1, np.int32)
-        at = _slots(chosen)
-        slot[at[::-1]] = np.arange(len(chosen), dtype=slot.dtype)[::-1]  # of two pairs in a slot the more frequent; the other has its turn in a later round
-        hit = slot[_slots(pairs)]
-        again = place[hit >= 0]
-        match = chosen[hit] == pairs  # -1, no rule, looks at the last
-        match &= hit >= 0
-        rank = np.full(len(symbols), len(chosen), np.int32)
-        rank[place[match]] = hit[match]
-        # Places of rank not above their neighbours'; of runs of one pair every second place.
-        good = rank < len(chosen)
-        good[1:] &= rank[1:] <= rank[:-1]
-        good[:-1] &= rank[:-1] <= rank[1:]
-        where = np.flatnonzero(good)
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(where) > 1]))
-        run = np.repeat((where[begin] & 1).astype(np.int8), np.diff(np.append(begin, len(where))))
-        where = where[(where & 1).astype(np.int8) == run]
-        rank = rank[where]
-        used = np.bincount(rank, minlength=len(chosen)) >= max(1, least // 2)
-        used[rank.min()] = True  # so that every round replaces something
-        where, rank = where[used[rank]], rank[used[rank]]
-        rules.append(np.stack([symbols_of(chosen[used], wide, 0), symbols_of(chosen[used], wide, 1)], 1))
-        symbols[where] = (base + made - 1 + np.cumsum(used)).astype(symbols.dtype)[rank]
-        new = made
-        made += int(used.sum())
-        left = np.zeros(len(symbols), bool)
-        left[again] = left[where] = True
-        keep = np.ones(len(symbols), bool)
-        keep[where + 1] = False
-        last[where] = last[where + 1]
-        symbols, last, left = symbols[keep], last[keep], left[keep]
-    ends = np.flatnonzero(last) + 1
-    per = np.zeros(len(counts), np.int64)
-    per[counts > 0] = np.diff(np.concatenate([[0], ends]))
-    return symbols, per, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-
-
-def _frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, how often) of those that occur `least` times."""
-    line = np.sort(pairs)
-    edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
-    often = np.diff(np.append(edge, len(line)))
-    return line[edge[often >= least]], often[often >= least]
-
-
-def symbols_of(pairs: np.ndarray, wide: bool, side: int) -> np.ndarray:
-    half = 32 if wide else 16
-    pairs = pairs.astype(np.uint64)
-    return (pairs >> np.uint64(half) if side == 0 else pairs & np.uint64((1 << half) - 1)).astype(np.uint32)
+    pairs = _Pairs(ids, counts, base, least)
+    rules = []
+    while (replaced := pairs.replace_most_frequent()) is not None:
+        rules.append(replaced)
+    live = ~pairs.gone
+    whole = np.concatenate([[0], np.cumsum(live)])
+    cut = np.concatenate([[0], np.cumsum(counts)])
+    rules = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
+    return pairs.symbol[:-1][live], np.diff(whole[cut]), np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -177,12 +226,12 @@ def _unpacked(data: bytes, count: int, at: int, bits: int) -> np.ndarray:
     return out
 
 
-def dump(doc_ids: np.ndarray, nulls: np.ndarray, ids: np.ndarray, counts: np.ndarray, base: int, rounds: int | None = ROUNDS) -> bytes:
-    symbols, per, rules = compress(ids, counts, base, rounds)
+def dump(doc_ids: np.ndarray, nulls: np.ndarray, ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST) -> bytes:
+    symbols, per, rules = compress(ids, counts, base, least)
     size = expansion_lengths(rules, base)
     bits = max(16, (max(base, int(ids.max(initial=0)) + 1) + len(rules) - 1).bit_length())
     body = b"".join([
-        MAGIC, struct.pack("<7Q", len(doc_ids), len(ids), len(symbols), len(rules), base, bits, (1 << 64) - 1 if rounds is None else rounds),
+        MAGIC, struct.pack("<7Q", len(doc_ids), len(ids), len(symbols), len(rules), base, bits, least),
         doc_ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), counts.astype("<u4").tobytes(), per.astype("<u4").tobytes(),
         _packed(rules.reshape(-1), bits), size.astype("<u4").tobytes(), _packed(symbols, bits),
     ])
@@ -220,13 +269,18 @@ class Shard:
             return self.symbols.astype(np.uint32)
         if int(self.size.sum()) > 4 * int(self.counts.sum()):  # long rules made of long rules: the table would be larger than the text
             return _expand(self.symbols, self.rules, self.base)
-        # What each symbol stands for, all symbols in a row; an id stands for itself.
-        flat = np.concatenate([np.arange(self.base, dtype=np.uint32), _expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32), self.rules, self.base)])
-        size = np.concatenate([np.ones(self.base, np.int64), self.size])
-        begin = np.cumsum(size) - size
-        many = size[self.symbols]
-        ends = np.cumsum(many)
-        return flat[np.repeat(begin[self.symbols] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        # What each rule stands for, all rules in a row; an id stands for itself.
+        flat = _expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32), self.rules, self.base)
+        begin = np.cumsum(self.size) - self.size
+        ruled = self.symbols >= self.base
+        rule = self.symbols[ruled].astype(np.int64) - self.base
+        size = self.size[rule]
+        many = np.ones(len(self.symbols), np.int64)
+        many[ruled] = size
+        out = np.repeat(self.symbols.astype(np.uint32), many)
+        ends = np.cumsum(size)
+        out[np.repeat(ruled, many)] = flat[np.repeat(begin[rule] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return out
 
     def document(self, i: int) -> np.ndarray:
         at = int(self.per[:i].sum())
@@ -243,7 +297,7 @@ class Shard:
         return _expand(line[first:last], self.rules, self.base)[skip : skip + max(0, end - begin)]
 
 
-def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", end_id: int = 2, base: int = 50257, shard_tokens: int = SHARD_TOKENS, rounds: int | None = ROUNDS, cache_pieces: int = CACHE_PIECES, folder: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str = "byte_bpe_50k.json", end_id: int = 2, base: int = 50257, shard_tokens: int = SHARD_TOKENS, least: int = LEAST, cache_pieces: int = CACHE_PIECES, folder: str | None = None) -> DataFrame:
     """Writes all documents; the manifest has a row a shard: part, shard, file, n_docs, n_tokens, n_bytes, start."""
     spark = docs.sparkSession
     ready(spark)
@@ -257,7 +311,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def close():
             ids, nulls, line, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            data = dump(ids, nulls, line, counts, base, rounds)
+            data = dump(ids, nulls, line, counts, base, least)
             uri = f"{folder}/part-{part:06d}-{shard:06d}.rpg"
             put(uri, data)
             return pa.record_batch({"part": [part], "shard": [shard], "file": [uri], "n_docs": [len(ids)], "n_tokens": [len(line)], "n_bytes": [len(data)]})
