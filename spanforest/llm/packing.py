@@ -31,10 +31,6 @@ TOKENS = "part long, doc_id {id}, start_in_part long, n_tokens long, ids binary"
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, opens boolean, closes boolean, ids binary"
 
 
-def texts_of(column: pa.Array, at: int, to: int) -> list[str]:
-    return [t or "" for t in column.slice(at, to - at).to_pylist()]
-
-
 def tokenised(docs: DataFrame, id_col: str, text_col: str, vocab: str, end_id: int, cache_pieces: int = CACHE_PIECES, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Ids (little-endian, 32 bits) of each row, with its partition and its start in it."""
 
@@ -45,7 +41,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocab: str, end_id: i
         for batch in batches:
             offsets, _ = binary(batch.column(1))
             for at, to in blocks(offsets, text_bytes):
-                whole, counts = tokenizer.encode(texts_of(batch.column(1), at, to), end_id)
+                whole, counts = tokenizer.encode_column(batch.column(1).slice(at, to - at), end_id)
                 cut = np.concatenate([[0], np.cumsum(counts)])
                 data = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(whole.astype("<u4"))])
                 yield pa.record_batch([pa.array(np.full(to - at, part)), batch.column(0).slice(at, to - at), pa.array(total + cut[:-1]), pa.array(counts), data], ["part", "doc_id", "start_in_part", "n_tokens", "ids"])

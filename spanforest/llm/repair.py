@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary, blocks, claim, get, partitions_for, put, ready, shared_dir, written
-from .packing import texts_of
 from .tokens import loaded, vocabulary
 
 MAGIC = b"RPG3"
@@ -63,7 +62,7 @@ class _Pairs:
         self.before[0] = self.before[ends] = n
         self.gone = np.zeros(n, bool)
         self.pair_at = np.full(n + 1, -1, np.int32)  # of each place: its pair, if it is frequent
-        self.often, self.pair, self.twin = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, bool)
+        self.often, self.pair, self.twin = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, bool)
         self.lots: list[np.ndarray] = []  # places, those of a pair in a row: its lot, where they begin there and where they end
         self.lot, self.begin, self.end = np.zeros((3, 1 << 12), np.int64)
         self.known = self.made = 0
@@ -140,27 +139,29 @@ class _Pairs:
         if not taken:
             return np.zeros(0, np.uint64)
         pairs = np.array(taken, np.int32)
-        at, rule = np.concatenate(held), np.repeat(np.arange(len(taken), dtype=np.uint32), list(map(len, held)))
+        # Indices of 64 bits, which need no conversion each time they are used.
+        at, rule = np.concatenate(held).astype(np.intp), np.repeat(np.arange(len(taken)), list(map(len, held)))
         live = self.pair_at[at] == pairs[rule]
         at, rule = at[live], rule[live]
-        second = self.after[at]
-        beyond = self.after[second]
+        second = self.after[at].astype(np.intp)
+        beyond = self.after[second].astype(np.intp)
+        ahead = self.before[at].astype(np.intp)
         self.often[pairs] = 0
-        self.symbol[at] = rule + np.uint32(self.base + self.made)
+        self.symbol[at] = rule + (self.base + self.made)
         self.made += len(pairs)
         # The pairs on both sides are no more; one between two places that are replaced counts once.
         self.pair_at[at] = -1
         lost = [self.pair_at[second]]
         self.pair_at[second] = -1
-        lost.append(self.pair_at[self.before[at]])
-        self.pair_at[self.before[at]] = -1
+        lost.append(self.pair_at[ahead])
+        self.pair_at[ahead] = -1
         lost = np.concatenate(lost)
         lost = lost[lost >= 0]
-        np.subtract.at(self.often, lost[~self.twin[lost]], 1)
+        np.subtract.at(self.often, lost[~self.twin[lost]].astype(np.intp), 1)
         self.gone[second] = True
         self.after[at] = beyond
         self.before[beyond] = at
-        ahead = self.before[at]
+        ahead = self.before[at].astype(np.intp)
         self._list(np.concatenate([ahead[ahead < self.n], at[beyond < self.n]]))
         return self.pair[pairs]
 
@@ -322,7 +323,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keys = keys.fill_null(0).to_numpy()
             offsets, _ = binary(batch.column(1))
             for at, to in blocks(offsets, TEXT_BYTES):
-                ids, counts = tokenizer.encode(texts_of(batch.column(1), at, to), end_id)
+                ids, counts = tokenizer.encode_column(batch.column(1).slice(at, to - at), end_id)
                 held.append((keys[at:to], nulls[at:to], ids, counts))
                 size += len(ids)
                 if size >= shard_tokens:

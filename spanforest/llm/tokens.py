@@ -4,20 +4,26 @@ The library's own pre-tokenisation never joins what stands before a space and
 what stands from that space on if a character that is no white space follows,
 and a line feed between two characters that are none is a token of its own. So
 texts are cut there, each distinct piece is encoded once by the library,
-and the ids of a text are the ids of its pieces in a row. Pieces are kept in a
+and the ids of a text are the ids of its pieces in a row. A piece of Latin letters
+is one word to the pre-tokenisation, so it goes to the library's model at once; a
+punctuation mark after it is a word of its own, whose id is put behind those of the letters. Pieces are kept in a
 cache of bounded size. Encoding and special-token handling equal
 `encode_batch(texts, add_special_tokens=False)` with `encode_special_tokens`.
 """
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import CLEARED
+from .common import CLEARED, binary
 
 #: Distinct pieces kept by one Python worker, about 230 bytes each; above it the cache starts anew.
 CACHE_PIECES = 500_000
@@ -28,6 +34,8 @@ _CALL = 4096
 
 _UNSAFE = re.compile(r" (?:\s|᠎|\Z)")
 _CONTROL = re.compile(r"[\t\x0b-\x1f]")
+#: Latin letters (ASCII, Latin-1, Latin Extended A and B), and the ASCII marks that can follow without an apostrophe among them.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 _CUT = re.compile(r"(?= [^\s᠎])")
 
 
@@ -42,20 +50,6 @@ def _bare(piece: str) -> bool:
     return bool(piece) and "\n" not in piece and not piece[0].isspace() and not piece[-1].isspace()
 
 
-class _Numbers(dict):
-    """Numbers pieces as they are first asked for, and lists the new ones."""
-
-    def __init__(self, number: Iterator[int]):
-        super().__init__()
-        self.number = number
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = next(self.number)
-        self.new.append(piece)
-        return n
-
-
 class PieceTokenizer:
     """Encodes lists of texts to one flat array of ids with each text's count.
 
@@ -77,16 +71,24 @@ class PieceTokenizer:
         self.leads[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         feed = self.tokenizer.encode("a\na", add_special_tokens=False).ids
         self.feed = feed[1] if len(feed) == 3 and feed[0] == feed[2] else None
+        # Words can go to the model if no added token can stand in them.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model if self.exact and not any(_WORD.fullmatch(t) or _WORD.fullmatch("a" + t) for t in added) else None
+        # How the byte-level alphabet writes bytes, the printable ones as themselves and the others from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = itertools.count(256)
+        self.alphabet = {b: b if b in printable else next(others) for b in range(256)}
+        self.marks: dict[str, list[int]] = {"": []}
         self._clear()
 
     def _clear(self) -> None:
-        self.number = itertools.count()
-        self.plain, self.spaced = _Numbers(self.number), _Numbers(self.number)
+        self.plain: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}
         self.ends: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
-        self.used = self.pieces = 0
+        self.used = self.pieces = 0  # ids that are kept, and pieces
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,19 +98,69 @@ class PieceTokenizer:
     def _keep(self, numbers: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        most = int(numbers.max()) + 1
-        while most > len(self.begin):
+        while self.pieces > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
         self.count[numbers] = counts
         self.begin[numbers] = self.used + np.cumsum(counts) - counts
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.pieces = max(self.pieces, most)
 
-    def _numbers(self, known: _Numbers, pieces: list[str], lead: str) -> list[int]:
-        found = list(map(known.__getitem__, pieces))
-        new, known.new = known.new, []
+    def _numbered(self, known: dict[str, int], pieces: list[str]) -> tuple[list[int], list[str]]:
+        """(the number of each piece, the pieces that had none)."""
+        found = list(map(known.get, pieces))
+        if None not in found:
+            return found, []
+        new = list(dict.fromkeys(p for p, n in zip(pieces, found, strict=True) if n is None))
+        known.update(zip(new, range(self.pieces, self.pieces + len(new)), strict=True))
+        self.pieces += len(new)
+        return list(map(known.__getitem__, pieces)), new
+
+    def _words(self, known: dict[str, int], new: list[str], lead: str) -> list[str]:
+        """Encodes the new pieces that are letters, or letters and marks; returns the others."""
+        bare, marked, stems, after, others = [], [], [], [], []
+        for p in new:
+            if p.isascii() and p.isalpha():
+                bare.append(p)
+            elif word := _WORD.fullmatch(p):
+                letters, marks = word.groups()
+                if marks:
+                    marked.append(p)
+                    stems.append(letters)
+                    after.append(marks)
+                else:
+                    bare.append(p)
+            else:
+                others.append(p)
+        stems, more = self._numbered(known, stems)
+        stems = np.array(stems, np.int64)
+        bare += more
+        if bare:
+            space, split, alphabet = "\u0120" if lead else "", self.model.tokenize, self.alphabet
+            ids = [[t.id for t in split(space + (p if p.isascii() else p.encode().decode("latin-1").translate(alphabet)))] for p in bare]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._keep(np.fromiter(map(known.__getitem__, bare), np.int64, len(bare)), np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum())), counts)
+        if marked:
+            for m in set(after) - self.marks.keys():
+                self.marks[m] = self.tokenizer.encode(m, add_special_tokens=False).ids
+            more = [self.marks[m] for m in after]
+            size, own = np.fromiter(map(len, more), np.int64, len(more)), self.count[stems]
+            counts = size + own
+            ends = np.cumsum(counts)
+            place = np.arange(int(ends[-1])) - np.repeat(ends - counts, counts)
+            letters = place < np.repeat(own, counts)
+            ids = np.empty(len(place), np.uint32)
+            ids[letters] = self.flat[(np.repeat(self.begin[stems], counts) + place)[letters]]
+            ids[~letters] = np.fromiter(itertools.chain.from_iterable(more), np.uint32, int(size.sum()))
+            self._keep(np.fromiter(map(known.__getitem__, marked), np.int64, len(marked)), ids, counts)
+            if len(self.marks) > 1 << 16:
+                self.marks = {"": []}
+        return others
+
+    def _numbers(self, known: dict[str, int], pieces: list[str], lead: str) -> list[int]:
+        found, new = self._numbered(known, pieces)
+        if self.model is not None:
+            new = self._words(known, new, lead)
         for i in range(0, len(new), _CALL):
             part = new[i : i + _CALL]
             numbers = np.fromiter(map(known.__getitem__, part), np.int64, len(part))
@@ -140,17 +192,41 @@ class PieceTokenizer:
     def _end(self, end_id: int) -> int:
         """The number of a piece that is the end id."""
         if end_id not in self.ends:
-            self.ends[end_id] = next(self.number)
+            self.ends[end_id] = self.pieces
+            self.pieces += 1
             self._keep(np.array([self.ends[end_id]]), np.array([end_id], np.uint32), np.ones(1, np.int64))
         return self.ends[end_id]
 
-    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids uint32 of all texts in a row, ids per text), with end_id after each text if one is given."""
-        if not self.exact:
-            ids, counts = self._encode(texts)
-            return (ids, counts) if end_id is None else (np.insert(ids, np.cumsum(counts), end_id), counts + 1)
-        if self.pieces > self.cache_pieces:
-            self._clear()
+    def _in_line(self, sizes: np.ndarray, lines_of: np.ndarray, heads: np.ndarray, tails: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the pieces of all texts, pieces of each text): lines of `sizes` pieces each, the first a head, texts of `lines_of` lines each."""
+        # After each line but a text's last comes a line feed, after the last the end id, if there is one.
+        last = np.zeros(len(sizes), bool)
+        last[np.cumsum(lines_of) - 1] = True
+        ended = end_id is not None
+        size = sizes + np.where(last, int(ended), 1)
+        after = np.cumsum(size)
+        first = after - size
+        index = np.empty(int(after[-1]) if len(after) else 0, np.int64)
+        others = np.ones(len(index), bool)
+        others[first] = False
+        if ended:
+            others[after[last] - 1] = False
+            index[after[last] - 1] = self._end(end_id)
+        if not last.all():
+            others[after[~last] - 1] = False
+            index[after[~last] - 1] = self._end(self.feed)
+        index[first] = heads
+        index[others] = tails
+        return index, np.diff(after[last], prepend=0)
+
+    def _whole(self, index: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per text) of texts of so many pieces each."""
+        counts = self.count[index]
+        ends = np.cumsum(counts)
+        source = np.repeat(self.begin[index] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat[source], np.diff(np.concatenate([[0], ends])[np.cumsum(pieces)], prepend=0)
+
+    def _listed(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         heads: list[str] = []
         tails: list[str] = []
         sizes: list[int] = []  # pieces of each line, without line feeds
@@ -171,31 +247,92 @@ class PieceTokenizer:
                 heads.append(parts.pop(0))
                 tails += parts
             lines_of.append(len(lines))
-        # After each line but a text's last comes a line feed, after the last the end id, if there is one.
-        last = np.zeros(len(sizes), bool)
-        last[np.cumsum(lines_of, dtype=np.int64) - 1] = True
-        ended = end_id is not None
-        size = np.array(sizes, np.int64) + np.where(last, int(ended), 1)
-        after = np.cumsum(size)
-        first = after - size
-        index = np.empty(int(after[-1]) if len(after) else 0, np.int64)
-        others = np.ones(len(index), bool)
-        others[first] = False
-        if ended:
-            others[after[last] - 1] = False
-            index[after[last] - 1] = self._end(end_id)
-        if not last.all():
-            others[after[~last] - 1] = False
-            index[after[~last] - 1] = self._end(self.feed)
-        index[first] = self._numbers(self.plain, heads, "")
-        index[others] = self._numbers(self.spaced, tails, " ")
-        first = first[np.concatenate([[True], last[:-1]])] if len(first) else first  # of texts
-        counts = self.count[index]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(self.begin[index] - (ends - counts), counts) + np.arange(total)
-        each = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-        return self.flat[source], each
+        return self._in_line(np.array(sizes, np.int64), np.array(lines_of, np.int64), np.array(self._numbers(self.plain, heads, ""), np.int64), np.array(self._numbers(self.spaced, tails, " "), np.int64), end_id)
+
+    @contextlib.contextmanager
+    def _uncollected(self) -> Iterator[None]:
+        """Millions of short-lived objects hold no rings: looking for some takes a fifth of the time."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield
+        finally:
+            if on:
+                gc.enable()
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids uint32 of all texts in a row, ids per text), with end_id after each text if one is given."""
+        if not self.exact:
+            ids, counts = self._encode(texts)
+            return (ids, counts) if end_id is None else (np.insert(ids, np.cumsum(counts), end_id), counts + 1)
+        if self.pieces > self.cache_pieces:
+            self._clear()
+        with self._uncollected():
+            return self._whole(*self._listed(texts, end_id))
+
+    def encode_column(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same for an Arrow column of strings, null as empty. Texts that are cut at every space and line feed are cut by Arrow."""
+        if not self.exact or self.feed is None:
+            return self.encode([t or "" for t in column.to_pylist()], end_id)
+        if self.pieces > self.cache_pieces:
+            self._clear()
+        with self._uncollected():
+            return self._whole(*self._cut(column, end_id))
+
+    def _cut(self, column: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the pieces of all texts, pieces of each text)."""
+        plain = _plainly_spaced(*binary(column))
+        if not plain.any():
+            return self._listed([t or "" for t in column.to_pylist()], end_id)
+        lines = pc.split_pattern(column.filter(pa.array(plain)), "\n")
+        pieces = pc.split_pattern(lines.flatten(), " ")
+        sizes = np.diff(pieces.offsets.to_numpy())
+        cut = pieces.flatten().dictionary_encode()
+        # No piece holds a space, so all come out in one string.
+        known, at = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(cut.dictionary)], pa.int32()), cut.dictionary), " ")[0].as_py().split(" "), cut.indices.to_numpy()
+        first = np.zeros(len(at), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        found = []
+        for own, kind, lead in ((at[first], self.plain, ""), (at[~first], self.spaced, " ")):
+            used = np.unique(own)
+            number = np.zeros(len(known), np.int64)
+            number[used] = self._numbers(kind, [known[i] for i in used.tolist()], lead)
+            found.append(number[own])
+        index, size = self._in_line(sizes, np.diff(lines.offsets.to_numpy()), *found, end_id)
+        if not plain.all():
+            more, many = self._listed([t or "" for t in column.filter(pa.array(~plain)).to_pylist()], end_id)
+            # The two lots of texts, dealt to their places in the column.
+            order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
+            index, size = np.concatenate([index, more]), np.concatenate([size, many])
+            begin = (np.cumsum(size) - size)[order]
+            size = size[order]
+            ends = np.cumsum(size)
+            index = index[np.repeat(begin - (ends - size), size) + np.arange(len(index))]
+        return index, size
+
+
+#: ASCII white space, as str.isspace has it.
+_BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+
+
+def _plainly_spaced(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Of each text, whether it has text in each line, white space neither at the lines' ends nor beside another blank; never for empty ones."""
+    rows, size = len(offsets) - 1, np.diff(offsets)
+    opens, closes = _BLANK[data], _BLANK[data]
+    lead = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+    if len(lead):  # white space outside ASCII, and the vowel separator that the cut takes for one
+        wide = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int64)
+        code = np.where(wide[lead] == 0xC2, (wide[lead] & 31) << 6 | wide[lead + 1] & 63, (wide[lead] & 15) << 12 | (wide[lead + 1] & 63) << 6 | wide[lead + 2] & 63)
+        space = lead[np.isin(code, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+        opens[space] = True
+        closes[space + np.where(data[space] == 0xC2, 1, 2)] = True
+    bad = np.zeros(len(data), bool)
+    if len(data):
+        bad[:-1] = ((data[:-1] == 32) | (data[:-1] == 10)) & opens[1:] | (data[1:] == 10) & closes[:-1]
+    total = np.concatenate([[0], np.cumsum(bad)])
+    good = size > 0
+    good[good] = ~(opens[offsets[:-1][good]] | closes[offsets[1:][good] - 1] | (total[offsets[1:][good]] > total[offsets[:-1][good]]))
+    return good[:rows]
 
 
 _loaded: dict[str, PieceTokenizer] = {}

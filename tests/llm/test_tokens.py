@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,12 +18,14 @@ def tokenizer():
     return PieceTokenizer(vocabulary())
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'sab.1é")), max_size=40), max_size=6))
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'sabcde.,?!1éßñ\u00a0\u2003\u180e"), st.sampled_from(["ab cd", "ab\ncd, ef", "Straße!!!", "l'été...", "a_b", "x-y%%%"])), max_size=40).map("".join), max_size=6))
 def test_pieces_encode_as_whole_texts(tokenizer, texts):
     ids, counts = tokenizer.encode(texts)
     whole = [e.ids for e in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert counts.tolist() == list(map(len, whole)) and ids.tolist() == [x for w in whole for x in w]
+    ids, counts = tokenizer.encode_column(pa.array([None, *texts], pa.string()).slice(1), 2)
+    assert counts.tolist() == [len(w) + 1 for w in whole] and ids.tolist() == [x for w in whole for x in [*w, 2]]
 
 
 def rows_of():
