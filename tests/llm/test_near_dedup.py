@@ -88,6 +88,49 @@ def test_groups_equal_brute_force(spark):
     assert nd.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_hot_change_is_linear(spark, monkeypatch):
+    """n texts share a change of 15 % against a more popular group: comparisons grow with n, not with its square."""
+    verify, differ = nd.verified, nd.differences
+    made = []
+
+    def counting(f):
+        def run(pairs, *rest):
+            pairs = nd.written(pairs, "counted")
+            made.append(pairs.count())
+            return f(pairs, *rest)
+
+        return run
+
+    monkeypatch.setattr(nd, "verified", counting(verify))
+    monkeypatch.setattr(nd, "differences", counting(differ))
+    many = {}
+    for n in (40, 160):
+        rng = random.Random(n)
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        other = list(base)
+        for at in range(0, 400, 33):
+            other[at] = f"shared{at}"
+        rows = [" ".join(changed(rng, base, rng.choice([0, 1, 2]))) for _ in range(int(1.6 * n))] + [" ".join(changed(rng, other, rng.choice([0, 1, 2]))) for _ in range(n)]
+        rows = list(enumerate(rows))
+        made.clear()
+        got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert {r.doc_id: r.group_id for r in got} == brute_groups(rows) and len({r.group_id for r in got}) == 2
+        many[n] = sum(made)
+    assert many[160] <= 4.5 * many[40] and many[160] <= 5 * 2.6 * 160
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"{k}{rng.randrange(900)}" for _ in range(60)) for k in "abc")
+    rows = [(1, a), (7, a + " more"), (7, b), (7, b), (9, b), (9, c), (4, c), (None, a), (12, a)]
+    for order in (rows, rows[::-1]):
+        left = nd.drop_near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(2)).collect()
+        # Of the two texts of 7 one is compared with others; no row goes for the other text of its id.
+        names = {a: "a", b: "b", c: "c", a + " more": "a more"}
+        found = sorted((r.doc_id, names[r.text]) for r in left if r.doc_id is not None)
+        assert [f for f in found if f != (7, "a more")] == [(1, "a"), (4, "c"), (7, "b"), (7, "b")] and sum(r.doc_id is None for r in left) == 1
+
+
 def test_signature_is_unbiased_for_weighted_sets():
     rng = np.random.default_rng(3)
     trials, slots = 300, 64
