@@ -4,13 +4,18 @@ Features are letter trigrams of the whole text, lower-cased, with everything
 that is no letter as one border symbol. A multinomial model over trigrams picks
 the family; inside a family a linear support vector machine for each pair of
 languages votes. Both are trained here on a bounded sample of labelled rows:
-per language the rows with the smallest hash of their id, at most `per_language`
-rows and an equal part of `sample_bytes` bytes (a first longer row is taken alone).
+per language the different rows (id and text) with the smallest hashes, at most
+`per_language` rows and an equal part of `sample_bytes` bytes; of a longer row
+only so many characters are learned from, so no row or repeated id makes the
+sample larger. The rows are thinned by hash where they are read, before any
+shuffle: what is ranked does not grow with the table.
 
 Defined results: `und` with score 0 for null texts, texts without a letter and
-when nothing was learned; equal scores go to the language that sorts first; a
-null id is never learned from and counts as held out; an empty table gives an
-empty result; other columns are passed through or not read, whatever their names.
+when nothing was learned (`keep_known` then keeps every text with a letter);
+equal scores go to the language that sorts first; a null id is never learned
+from and counts as held out; repeated rows are learned from once; an empty table
+gives an empty result; other columns are passed through or not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import binary, blocks, claim, fresh, ready, trim
 
 PER_LANGUAGE, SAMPLE_BYTES = 1500, 24 << 20
+#: Labels that can be learned; a column with more is no language.
+MOST_LANGUAGES = 2000
 UNKNOWN = "und"
 #: Families of languages by ISO 639-1 code. A language that is not here is a family of its own.
 FAMILIES = {
@@ -68,8 +75,9 @@ def trigrams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     line[np.arange(len(data)) + np.repeat(2 * np.arange(rows) + 1, size)] = CODES[data]
     at = line[:-2] << 12 | line[1:-1] << 6 | line[2:]
     first = offsets[:-1] + 2 * np.arange(rows)
-    # A place that looks into the next row sees that row's first border only.
-    return at[: len(data) + 2 * rows], first
+    at = at[: len(data) + 2 * rows]
+    at[first + size + 1] = 0  # from a row's last border on stand the next row's symbols
+    return at, first
 
 
 class Model(NamedTuple):
@@ -194,28 +202,34 @@ def held_out(id_: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits on the labelled rows that aren't held out, by a bounded sample of them."""
     usable = ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN) & F.col(text_col).isNotNull()
-    rows = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(lang_col).alias("language"), F.col(text_col).alias("text"))
-    by_hash = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
-    # Hashes are even over 64 bits: below this share of them lie about four times the rows wanted, however frequent the language is.
-    many = rows.groupBy("language").agg(F.count("*").alias("many"))
-    share = (F.xxhash64("id").cast("double") + 2.0**63) / 2.0**64
-    low = rows.select("id", "language").join(many, "language").filter(share * F.col("many") <= 4.0 * per_language).select("id", "language")
-    near = low.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language)
-    ids = near.select("id").distinct()
-    sized = rows.join(F.broadcast(ids), "id").select("id", "language", F.octet_length("text").alias("size"), F.xxhash64("id").alias("h")).collect()
-    chosen, used, most = [], {}, sample_bytes // max(1, len({r.language for r in sized}))
-    for r in sorted(sized, key=lambda r: (r.language, r.h, r.id)):
-        if r.language not in used or used[r.language] + r.size <= most:
-            used[r.language] = used.get(r.language, 0) + r.size
-            chosen.append((r.id,))
-    if not chosen:
+    rows = docs.filter(usable).select(F.col(lang_col).alias("language"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    # A row a language, with partial sums: sent to every task, so that rows are thinned before they are shuffled.
+    many = rows.groupBy("language").agg(F.approx_count_distinct("h").alias("many")).limit(MOST_LANGUAGES + 1).collect()
+    if len(many) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
+    if not many:
         return fit([], [])
     spark = docs.sparkSession
-    kind = rows.schema["id"].dataType.simpleString()
-    got = rows.join(F.broadcast(spark.createDataFrame(chosen, f"id {kind}").distinct()), "id").filter(F.col("text").rlike("\\p{L}")).collect()
-    got.sort(key=lambda r: (r.language, r.id, r.text))
+    known = F.broadcast(spark.createDataFrame([(r.language, r.many) for r in many], "language string, many long"))
+    # Hashes are even over 64 bits: below this share of them lie about four times the rows wanted, however frequent the language is.
+    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    low = rows.join(known, "language").filter(share * F.col("many") <= 4.0 * per_language).select("language", "h", F.octet_length("text").alias("size")).distinct()
+    by_hash = Window.partitionBy("language").orderBy("h", "size")
+    sized = low.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language).select("language", "h", "size").collect()
+    chosen, used, most = [], {}, max(1, sample_bytes // len(many))
+    for r in sorted(sized, key=lambda r: (r.language, r.h, r.size)):
+        size = min(r.size, most)
+        if used.get(r.language, 0) + size <= most:
+            used[r.language] = used.get(r.language, 0) + size
+            chosen.append((r.language, r.h, r.size))
+    wanted = F.broadcast(spark.createDataFrame(chosen, "language string, h long, size long"))
+    # Characters, at most four bytes each: a longer row's beginning is no more than its language's part.
+    text = F.when(F.octet_length("text") > most, F.substring("text", 1, max(1, most // 4))).otherwise(F.col("text")).alias("text")
+    taken = rows.join(wanted.drop("size"), ["language", "h"]).select("language", "h", text).groupBy("language", "h").agg(F.min("text").alias("text"))
+    got = taken.filter(F.col("text").rlike("\\p{L}")).collect()
+    got.sort(key=lambda r: (r.language, r.h))
     model = fit([r.text for r in got], [r.language for r in got])
-    del got, sized, chosen
+    del got, sized, chosen, many
     trim()  # the driver has other work after this
     return model
 
@@ -251,7 +265,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", *, lang_as:
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", *, least_score: float = 0.0) -> DataFrame:
-    """The documents, all columns as they were, whose language is recognised with at least that score."""
+    """The documents, all columns as they were, whose language is recognised with at least that score; with a model of nothing, all with a letter."""
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
     lang, score = fresh(docs, "_lang_pred"), fresh(docs, "_lang_score")
     found = identify(docs, model, text_col, lang_as=lang, score_as=score)
     return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(*docs.columns)

@@ -269,7 +269,8 @@ def differences(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 def shared_differences(differ: DataFrame) -> DataFrame:
     """The rows a, d, b that must be looked at: members b that have difference d from reference a among their rarest ones."""
-    apart = differ.filter("long > 0").select("a").distinct()
+    # Written, so that its size is known before the join is planned: small, it is sent to the members, and they stay where they are.
+    apart = written(differ.filter("long > 0").select("a").distinct(), "apart")
     each = differ.join(apart, "a", "left_semi").withColumn("many", F.size("differs")).withColumn("d", F.explode("differs")).drop("differs")
     # A difference of one member alone can't be shared: it is only counted.
     common = written(each.groupBy("a", "d").agg(F.count("*").alias("n")).filter("n > 1"), "common")

@@ -3,10 +3,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanforest.llm import chat, language_id
+from spanforest.llm.common import BLOCK_BYTES
 
 SYLLABLES = {"en": ["the", "ing", "tion", "and", "wh"], "de": ["sch", "ung", "ein", "keit", "ß"], "fr": ["eau", "oi", "ê", "ment", "que"], "es": ["ción", "ñ", "rr", "ado", "ll"]}
 
@@ -43,8 +45,70 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert model.languages == ["de", "en"] and model.pairs == [(0, 1)]
 
 
+def plain_trigrams(text):
+    line = [0, *(language_id.CODES[b] for b in text.encode()), 0, 0]
+    return [(int(a) << 12) | (int(b) << 6) | int(c) for a, b, c in zip(line, line[1:], line[2:], strict=False)]
+
+
+def plain_prediction(model, text):
+    """Family by posterior, then votes of the pairs in it, one text at a time."""
+    at = plain_trigrams(text)
+    many = max(1, sum(t != 0 for t in at))
+    mean = [sum(float(w[t]) for t in at) / many + float(b) for w, b in zip(model.weight, model.bias, strict=True)]
+    f = len(model.families)
+    family = max(range(f), key=lambda k: (mean[k], -k))
+    own = model.members[family]
+    votes, belief = dict.fromkeys(own, 0), dict.fromkeys(own, 0.0)
+    for k, (a, b) in enumerate(model.pairs):
+        if a in own:
+            p = 1 / (1 + np.exp(-np.clip(mean[f + k] * model.slope[k], -60, 60)))
+            votes[a if p >= 0.5 else b] += 1
+            belief[a] += p
+            belief[b] += 1 - p
+    best = max(own, key=lambda x: (votes[x] + 1e-3 * belief[x], -x))
+    sure = 1 / sum(np.exp((m - mean[family]) * min(many, 100)) for m in mean[:f])
+    return best, sure * (belief[best] / (len(own) - 1) if len(own) > 1 else 1.0)
+
+
+def test_predictions_equal_plain_ones():
+    rng = random.Random(8)
+    texts = [say(rng, lang, rng.choice([1, 5, 40])) for lang in SYLLABLES for _ in range(40)]
+    model = language_id.fit(texts, [lang for lang in SYLLABLES for _ in range(40)])
+    asked = [say(rng, rng.choice(list(SYLLABLES)), rng.choice([1, 2, 50])) for _ in range(60)] + ["a", "Ж", "x" * 3000, "a b  c\n1", "the schung ción"]
+    asked.append(say(rng, "es", 300_000))
+    assert len(asked[-1]) > BLOCK_BYTES
+    offsets, data = language_id.binary(pa.array(asked))
+    best, score = language_id.predict(model, offsets, data)
+    for i, text in enumerate(asked):
+        want, sure = plain_prediction(model, text)
+        assert best[i] == want and abs(score[i] - sure) < 1e-6
+    # The pairs' machines have nearly all that they were trained on on its side.
+    rows, names = language_id._sparse(texts), [lang for lang in SYLLABLES for _ in range(40)]
+    for (one, other), w, c in zip(model.pairs, model.weight[len(model.families) :], model.bias[len(model.families) :], strict=True):
+        right = [(w[at] @ share + c > 0) == (name == model.languages[one]) for (at, share), name in zip(rows, names, strict=True) if name in (model.languages[one], model.languages[other])]
+        assert np.mean(right) > 0.9
+
+
+def test_sample_is_bounded(spark):
+    rng = random.Random(3)
+    rows = [(1, say(rng, "en"), "en")] * 3000 + [(i, say(rng, lang), lang) for i in range(2, 1500) for lang in ("en", "de")] + [(5000 + i, say(rng, "de", 4000), "de") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    seen, fit = [], language_id.fit
+    try:
+        language_id.fit = lambda texts, languages: seen.append((texts, languages)) or fit(texts, languages)
+        language_id.learn(docs, per_language=50, sample_bytes=16000)
+    finally:
+        language_id.fit = fit
+    texts, languages = seen[0]
+    for lang in ("en", "de"):
+        own = [t for t, x in zip(texts, languages, strict=True) if x == lang]
+        assert 10 < len(own) <= 50 and len(set(own)) == len(own) and sum(len(t.encode()) for t in own) <= 8000
+
+
 def test_nothing_to_learn(spark):
-    docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 !", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in language_id.keep_known(docs, language_id.learn(docs)).collect()] == [1]
+    docs = docs.limit(1)
     assert [r.lang_pred for r in language_id.identify(docs, language_id.learn(docs)).collect()] == ["und"]
     assert language_id.identify(docs.limit(0), language_id.learn(docs)).count() == 0
 
