@@ -2,14 +2,17 @@
 
 Every partition sorts the digests of its texts into a run that holds each
 digest once, with the smallest id and the number of rows. Runs are exchanged in
-binomial rounds: in round k the runs of FAN ** k partitions have become one,
-cut by leading digest bits into as many segments, and FAN neighbours hand each
-other segments, so that a task merges FAN sorted pieces of about a partition's
-size whatever the size of the table. After log_FAN(partitions) rounds each
-segment holds its digests of the whole table. A text's copies collapse in every
-run at every level: no round moves more than one row a run for the most
+binomial rounds, two at a time: after k exchanges the runs of FAN ** k
+partitions have become one, cut by leading digest bits into as many segments;
+FAN neighbours hand each other segments, so that a task merges FAN sorted pieces
+of about a partition's size whatever the size of the table. After
+log_FAN(partitions) exchanges each segment holds its digests of the whole table.
+A merge keeps the order of its pieces (a stable sort that finds sorted runs and
+merges them) and of equal digests the smallest id. A text's copies collapse in
+every run at every level: no round moves more than one row a run for the most
 frequent text. Two entries are one only if SHA-256, length in bytes and a
-second 64-bit hash of the normalised text agree.
+second 64-bit hash of the normalised text agree; that stands for comparing their
+bytes, for which every copy's text would have to be moved.
 
 The answers go back to the runs, not to the rows: a run holds each digest once,
 so this join has no key with more rows than there are partitions.
@@ -30,10 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import claim, fresh, ready, written
 
-FAN_BITS = 4
+FAN_BITS = 2
 #: Rows of a run that are sorted at once; a longer partition makes several runs.
 RUN_ROWS = 1 << 18
-_FLUSHES = 1 << 12
+#: A run's number is its partition's times this, and its place there.
+_FLUSHES = 1 << 32
 KEY = 48
 ENTRY = "node long, segment long, keys binary, keeps binary"
 #: What stands beside a key in a run: the kept row's place, and the rows.
@@ -49,15 +53,22 @@ def digest_key(text: Column) -> Column:
     return F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.octet_length(text).cast("long")), 16, "0")), F.unhex(F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
 
 
-def _collapse(keys: np.ndarray, keeps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merges sorted runs that stand one after another: (keys, keeps, order, first place of each key)."""
-    order = np.lexsort((keeps["run"], keeps["id"], keeps["null"], keys))
+def _merged(keys: np.ndarray, keeps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges sorted runs that stand one after another, in the order of their numbers: (keys, keeps, order)."""
+    order = np.argsort(keys, kind="stable")
     keys, keeps = keys[order], keeps[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    rows = np.add.reduceat(keeps["rows"], first) if len(first) else np.zeros(0, np.int64)
-    out = keeps[first].copy()
-    out["rows"] = rows
-    return keys[first], out, order, first
+    if not len(keys):
+        return keys, keeps, order
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    many = np.diff(np.append(first, len(keys)))
+    # Of equal keys the smallest id, null the largest; of the same id the first run.
+    null, id_ = keeps["null"], np.where(keeps["null"] > 0, 0, keeps["id"])
+    some = np.minimum.reduceat(null, first)
+    least = np.minimum.reduceat(np.where(null > np.repeat(some, many), np.iinfo(np.int64).max, id_), first)
+    good = np.flatnonzero((null == np.repeat(some, many)) & (id_ == np.repeat(least, many)))
+    out = keeps[good[np.searchsorted(good, first)]].copy()
+    out["rows"] = np.add.reduceat(keeps["rows"], first)
+    return keys[first], out, order
 
 
 def _segments(node: int, segment: int, level: int, keys: np.ndarray, keeps: np.ndarray):
@@ -85,11 +96,14 @@ def _runs(rows: DataFrame) -> DataFrame:
         part, flush, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def close():
-            number = part * _FLUSHES + min(flush, _FLUSHES - 1)
+            number = part * _FLUSHES + flush
             keys, ids, nulls = (np.concatenate(x) for x in zip(*held, strict=True))
             keeps = np.zeros(len(keys), KEEP)
             keeps["null"], keeps["id"], keeps["run"], keeps["rows"] = nulls, ids, number, 1
-            unique, kept, order, _ = _collapse(keys, keeps)
+            # Ids in order, so that a key's ids begin with the one that is kept.
+            order = np.lexsort((ids, nulls))
+            unique, kept, by_key = _merged(keys[order], keeps[order])
+            order = order[by_key]
             return pa.record_batch([pa.array([number]), pa.array([unique.tobytes()], pa.binary()), pa.array([kept.tobytes()], pa.binary()), pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), pa.array([nulls[order].astype(np.uint8).tobytes()], pa.binary())], ["run", "keys", "keeps", "ids", "nulls"])
 
         for batch in batches:
@@ -126,9 +140,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def merge(level: int):
         def run(group: pa.Table) -> pa.Table:
-            keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), f"S{KEY}")
-            keeps = np.frombuffer(b"".join(group.column("keeps").to_pylist()), KEEP)
-            keys, keeps, _, _ = _collapse(keys, keeps)
+            pieces = sorted(((np.frombuffer(k, KEEP), x) for k, x in zip(group.column("keeps").to_pylist(), group.column("keys").to_pylist(), strict=True)), key=lambda p: int(p[0]["run"].min()))
+            keys, keeps, _ = _merged(np.frombuffer(b"".join(x for _, x in pieces), f"S{KEY}"), np.concatenate([k for k, _ in pieces]))
             node, segment = group.column("node")[0].as_py(), group.column("segment")[0].as_py()
             if level < rounds:
                 return _table(list(_segments(node, segment, level, keys, keeps)))
@@ -170,15 +183,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, with all its columns: the one named by keep_id, or any if none of the group has an id.
+    """One row of each group, with all its columns: one with the group's text and the id named by keep_id, if any of the group has an id.
 
-    Ids are taken to name rows: of rows with the same kept id one stays.
+    Rows are found by id and text, so different texts of one id all stay.
     """
     name, mark, digest = fresh(docs, "_kept_id"), fresh(docs, "_text_sha256"), fresh(docs, "_kept_sha256")
     kept = written(exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(digest)), "kept")
-    named = docs.join(kept.select(name), F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
-    # Groups without any id are found by their text; filters on a null id rarely read anything.
-    unnamed = docs.filter(F.col(id_col).isNull()).withColumn(mark, F.sha2(normalised(F.col(text_col)), 256))
+    marked = docs.withColumn(mark, F.sha2(normalised(F.col(text_col)), 256))
+    # A null id equals no other in a join and is looked up by its text alone; filters on a null id rarely read anything.
+    named = marked.join(kept, (F.col(id_col).cast("long") == F.col(name)) & (F.col(mark) == F.col(digest)), "left_semi").dropDuplicates([id_col, mark])
     digests = kept.filter(F.col(name).isNull()).select(digest)
-    unnamed = unnamed.join(digests, F.col(mark) == F.col(digest), "left_semi").dropDuplicates([mark]).drop(mark)
-    return named.unionByName(unnamed)
+    unnamed = marked.filter(F.col(id_col).isNull()).join(digests, F.col(mark) == F.col(digest), "left_semi").dropDuplicates([mark])
+    return named.unionByName(unnamed).drop(mark)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,10 +33,10 @@ def brute_copies(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("parts", [1, 3, 20])
+@pytest.mark.parametrize("parts", [1, 3, 20, 70])
 def test_copies_equal_brute_force(spark, parts):
     rng = random.Random(parts)
-    texts = ["", None, " ", "a b", "a\t\x0bb", "a  b", " a b", "a b", "é" * 3000, "x" * 50000, *(f"t{i}" for i in range(30))]
+    texts = ["", None, " ", "a b", "a\t\x0bb", "a  b", " a b", "a b", "é" * 3000, "x" * 50000, "long  text " * 150_000, *(f"t{i}" for i in range(30))]
     rows = [(i, rng.choice(texts)) for i in range(-5, 300)] + [(None, "a b"), (None, "only null"), (None, "only null"), (7, "t1"), (7, "t1"), (8, "same"), (8, "same")]
     got = exact_dedup.exact_duplicates(docs_of(spark, rows, parts)).collect()
     assert sorted(map(tuple, got), key=repr) == brute_copies(rows)
@@ -50,6 +51,28 @@ def test_hot_text_and_empty_table(spark):
     assert left.columns == ["doc_id", "text", "kept", "key"] and left.count() == 401
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_texts_of_one_id_all_stay(spark, order):
+    rows = [(5, "B"), (5, "A"), (3, "B"), (5, " A"), (5, "A"), (None, "A"), (None, "C"), (None, "C")][::order]
+    left = exact_dedup.drop_duplicates(docs_of(spark, rows, 2)).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted([(3, "B"), (5, "A"), (5, " A"), (None, "C")], key=repr)
+
+
+def test_merge_keeps_the_smallest_id():
+    rng = random.Random(1)
+    for _ in range(200):
+        runs, number = [], 0
+        for _ in range(rng.randrange(1, 6)):
+            number += rng.randrange(1, 9)
+            keys = sorted(rng.sample([bytes([c]) * exact_dedup.KEY for c in range(65, 75)], rng.randrange(1, 8)))
+            runs.append([(k, null := int(rng.random() < 0.3), 0 if null else rng.randrange(-4, 5), number, rng.randrange(1, 4)) for k in keys])
+        line = [e for run in runs for e in run]
+        keeps = np.array([e[1:] for e in line], exact_dedup.KEEP)
+        keys, out, _ = exact_dedup._merged(np.array([e[0] for e in line], f"S{exact_dedup.KEY}"), keeps)
+        want = [(k, *min(e[1:4] for e in line if e[0] == k), sum(e[4] for e in line if e[0] == k)) for k in sorted({e[0] for e in line})]
+        assert [(k, *o) for k, o in zip(keys.tolist(), out.tolist(), strict=True)] == want
+
+
 def brute_hits(docs, items, window=10):
     def norm(t):
         return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
