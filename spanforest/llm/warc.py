@@ -1,9 +1,10 @@
 """WARC archives of pages, each record a Zstandard frame by a shared dictionary.
 
-A dictionary is trained on a bounded sample of the pages' records and stands at
-the head of every file in a skippable frame (magic 0x184D2A5D, itself
-compressed), so a file can be read without anything else; every record is a
-frame of its own, so a record can be read without the others. Of equal payloads
+A dictionary is trained on a bounded sample of the pages' records (of records too
+few or too alike to train on, their bytes are the dictionary) and stands at the
+head of every file in a skippable frame (magic 0x184D2A5D, itself compressed), so
+a file can be read without anything else; every record is a frame of its own, so
+a record can be read without the others. Of equal payloads
 the one with the smallest page id is archived whole and the others are
 `revisit` records that refer to it.
 
@@ -12,14 +13,16 @@ Defined results: null pages have an empty payload; payloads shorter than
 response are responses too; a null id is larger than any other, is written as
 `none` and read back as null; a null url is `about:blank`, and control
 characters, spaces and non-ASCII characters in a url are percent-encoded;
-an empty table makes no file; other columns are not read.
+an empty table makes no file; other columns are not read. Record ids are
+`urn:x-page:` with the page id and, where other records refer to this one, the
+payload's digest, else the record's place in its file; so only rows repeated
+exactly, which are one record, share an id.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import warnings
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -42,52 +45,60 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SKIPPABLE = 0x184D2A5D
 
 
-def urn(page_id: int | None) -> str:
-    return f"<urn:x-page:{'none' if page_id is None else page_id}>"
+def urn(page_id: int | None, which: str) -> str:
+    return f"<urn:x-page:{'none' if page_id is None else page_id}:{which}>"
 
 
 def page_of(name: str) -> int | None:
-    number = name.strip("<>").rpartition(":")[2]
+    number = name.strip("<>").split(":")[2]
     return None if number == "none" else int(number)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, place: str = "", date: str = DATE) -> bytes:
+    """A response, or a revisit of page `refers_to`; `place` tells records apart that no other refers to."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {quote(url, safe='%/:=&?~#+!$,;@()*[]\'') if url else 'about:blank'}", f"WARC-Payload-Digest: sha256:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id, place or digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {quote(url, safe='%/:=&?~#+!$,;@()*[]\'') if url else 'about:blank'}", f"WARC-Payload-Digest: sha256:{digest}"]
     if revisit:
-        lines += [f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {urn(refers_to, digest)}", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def information(date: str = DATE) -> bytes:
+def information(name: str, date: str = DATE) -> bytes:
     block = b"format: WARC File Format 1.1\r\n"
-    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x-file:info>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x-file:{name}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
 
 def train(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary of at most `size` bytes; empty if the records are too few to train on."""
+    """A dictionary of at most `size` bytes; empty only if there are no records."""
     total = sum(map(len, records))
     try:
-        return zstandard.train_dictionary(min(size, max(256, total // 8)), records).as_bytes() if len(records) >= 8 else b""
-    except zstandard.ZstdError:
-        return b""
+        if len(records) >= 8:
+            return zstandard.train_dictionary(min(size, max(256, total // 8)), records).as_bytes()
+    except zstandard.ZstdError:  # too little, or too much alike
+        pass
+    return b"".join(records)[:size] if total >= 8 else b""
+
+
+def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
+    """A trained dictionary, known by its magic number, or bytes as they are."""
+    return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_AUTO)
 
 
 class Writer:
     """The bytes of one file."""
 
-    def __init__(self, dictionary: bytes, level: int = LEVEL):
+    def __init__(self, dictionary: bytes, level: int = LEVEL, name: str = "", date: str = DATE):
         self.pieces: list[bytes] = []
         self.size = self.records = 0
-        known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT) if dictionary else None
+        known = _dictionary(dictionary) if dictionary else None
         self.compressor = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=True, write_checksum=True)
         if dictionary:
             frame = zstandard.ZstdCompressor(level=19).compress(dictionary)
             self._put(struct.pack("<II", _SKIPPABLE, len(frame)) + frame)
-        self._put(self.compressor.compress(information()))
+        self._put(self.compressor.compress(information(name, date)))
 
     def _put(self, data: bytes) -> None:
         self.pieces.append(data)
@@ -105,7 +116,7 @@ def frames(data: bytes) -> Iterator[bytes]:
         size = struct.unpack_from("<I", data, 4)[0]
         raw = data[8 : 8 + size]
         raw = zstandard.ZstdDecompressor().decompress(raw) if raw[:4] == b"\x28\xb5\x2f\xfd" else raw
-        known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT)
+        known = _dictionary(raw)
         at = 8 + size
     decompressor = zstandard.ZstdDecompressor(dict_data=known)
     while at < len(data):
@@ -146,16 +157,13 @@ def _sampled(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> list
     return [record(r.id, r.url, p := r.html.encode(), hashlib.sha256(p).hexdigest(), None, False) for r in got]
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least: int = LEAST, file_bytes: int = FILE_BYTES, level: int = LEVEL, folder: str | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least: int = LEAST, file_bytes: int = FILE_BYTES, level: int = LEVEL, date: str = DATE, folder: str | None = None) -> DataFrame:
     """Writes all pages; the manifest has a row a file: file, n_records, n_bytes."""
     spark = pages.sparkSession
     ready(spark)
     folder = folder or shared_dir(spark, "warc")
     sample = _sampled(pages, id_col, url_col, html_col)
-    trained = train(sample)
-    if not trained and len(sample) >= 8:
-        warnings.warn(f"no dictionary could be trained on {len(sample)} records of {sum(map(len, sample))} bytes: files are written without", stacklevel=2)
-    dictionary = spark.sparkContext.broadcast(trained)
+    dictionary = spark.sparkContext.broadcast(train(sample))
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.cast("binary").alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     firsts = rows.filter(F.col("n") >= least).groupBy("digest", "n").agg(F.min("id").alias("first_id"), F.count("*").alias("many")).filter("many > 1").drop("many")
@@ -173,8 +181,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
         for batch in batches:
             for i, url, data, digest, first, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                writer = writer or Writer(dictionary.value, level)
-                writer.add(record(i, url, data, digest, first, revisit))
+                writer = writer or Writer(dictionary.value, level, f"{part}-{number}", date)
+                place = "" if first is not None and not revisit else f"{part}-{number}-{writer.records}"
+                writer.add(record(i, url, data, digest, first, revisit, place, date))
                 if writer.size >= file_bytes:
                     yield close()
                     number, writer = number + 1, None

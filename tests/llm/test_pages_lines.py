@@ -39,6 +39,14 @@ def test_archives_round_trip(spark, tmp_path):
     assert len(files) > 4 and sum(f.n_records for f in files) == len(rows)
     data = get(files[0].file)
     assert data[:4] == bytes.fromhex("5D2A4D18") and len(data) == files[0].n_bytes
+    # Only exactly repeated rows share a record id, and every revisit refers to a response's id.
+    heads = [warc.parse(r)[0] for f in files for r in warc.frames(get(f.file))]
+    names = [h["warc-record-id"] for h in heads]
+    assert len(set(names)) == len(set(map(repr, rows))) + len(files) and len(names) == len(rows) + len(files)
+    responses = {h["warc-record-id"]: h["warc-payload-digest"] for h in heads if h["warc-type"] == "response"}
+    assert all(responses[h["warc-refers-to"]] == h["warc-payload-digest"] for h in heads if h["warc-type"] == "revisit")
+    few = warc.write_archives(pages.filter("page_id between 0 and 6").coalesce(1)).collect()
+    assert len(few) == 1 and get(few[0].file)[:4] == bytes.fromhex("5D2A4D18")
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
@@ -46,8 +54,9 @@ def test_records_are_frames_of_their_own_and_damage_shows():
     rng = random.Random(3)
     records = [warc.record(i, f"u{i}", page(rng, 50).encode(), "0" * 64, None, False) for i in range(50)]
     dictionary = warc.train(records)
-    assert dictionary and warc.train([]) == b"" == warc.train([b"x"])
-    for known in (dictionary, b""):
+    few = warc.train(records[:7])
+    assert dictionary and warc.train([]) == b"" == warc.train([b"x"]) and few == b"".join(records[:7])[: warc.DICTIONARY_BYTES] and warc.train([b"alike" * 50] * 9)
+    for known in (dictionary, few, b""):
         writer = warc.Writer(known)
         for r in records:
             writer.add(r)
