@@ -2,8 +2,9 @@
 
 A page is cut into blocks at block-level tags. A block is described by its word
 count and link density, those of the blocks before and after it, whether it
-stands in an element that names itself page furniture, and whether it is in the
-page's article. A decision tree, grown here on a small labelled table of such
+stands in an element that names itself page furniture (a whole class, id or role
+of such words, not a word in another name), and whether it is in the page's
+article. A decision tree, grown here on a small labelled table of such
 descriptions, says which blocks are main text.
 
 Defined results: null, empty and text-free pages have an empty text; markup is
@@ -27,15 +28,18 @@ from .common import claim, ready
 
 #: Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template textarea title iframe object svg math canvas select option datalist audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = frozenset("script style noscript template textarea title iframe object svg canvas select option datalist audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math mfrac mi mn mo mrow msqrt msub msubsup msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FURNITURE = frozenset("aside button dialog fieldset footer form head legend menu nav label".split())
 ARTICLE = frozenset("article main".split())
 #: Words in a class, an id or a role that name page furniture.
 NAMES = frozenset(
     "ad ads adslot advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr hidden login masthead menu menubar modal nav navbar navigation navigational newsletter notice notification pager pagination paywall popup promo promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
-_HEADER_NAMES = frozenset(["header"])
+#: Words that such a name can also have; any other word makes it a name of its own ("share-price", "has-sidebar").
+BESIDE = frozenset(
+    "above area article articles bar below block blog body bottom box button buttons card center col column container content count desktop fixed float floating form foot footer global group head header heading holder icon icons id inline inner item items js large layer left level link links list main message mini mobile module new number outer overlay page panel post posts primary reader right row secondary section site slot small static sticky story text the title toggle top unit user users view vertical wp wrap wrapper zone".split()
+)
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?=[\s/]|$))""", re.I)
@@ -58,9 +62,10 @@ def _names_furniture(attributes: str, in_article: bool) -> bool:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
         if name in ("class", "id", "role"):
-            parts = {p.lower() for p in _PART.findall(value)}
-            if parts & NAMES or not in_article and parts & _HEADER_NAMES:
-                return True
+            for token in value.split():
+                parts = {p.lower() for p in _PART.findall(token)}
+                if (parts & NAMES or not in_article and "header" in parts) and parts <= NAMES | BESIDE:
+                    return True
     return False
 
 
@@ -136,7 +141,11 @@ def blocks_of(page: str) -> list[Block]:
         _, furniture, article, link = stack[-1]
         inside = article or name in ARTICLE
         own = furniture or name in FURNITURE or name == "header" and not article or bool(tag[3]) and _names_furniture(tag[3], inside)
-        if name == "body":
+        if name == "main" and not article:
+            own = bool(tag[3]) and _names_furniture(tag[3], inside)  # it is the main text whatever the elements around it are called
+        elif name == "html":
+            own = furniture
+        elif name == "body":
             own = bool(tag[3]) and bool(re.search(r"\shidden(?=[\s/>=]|$)", tag[3], re.I))
             while len(stack) > 1 and stack[-1][0] != "html":
                 opened[stack.pop()[0]] -= 1
@@ -176,8 +185,18 @@ LABELLED = """
   30  45    5   0   0   0  0 2  1
    8 100   70   0   9 100  0 2  0
    3 100    0   0   0   0  0 2  0
-  12 100   30   0  25   0  0 2  0
-   2 100   50   0  70   0  0 2  0
+  12 100   30   0  25   0  0 2  1
+   2 100   50   0  70   0  0 2  1
+   6 100   40   0   9   0  0 2  1
+   8 100    5   0   4   0  0 2  1
+   8 100   60   0  60   0  0 2  1
+   5 100   20   0  15   0  0 2  1
+  25 100   50   0  40   0  0 2  1
+   4 100    0   0  60   0  0 2  1
+   2 100    9   0  12   0  0 2  1
+   3 100   40   0   0   0  0 2  0
+   4 100   30   0   3 100  0 2  0
+   2 100    3 100  30   0  0 2  0
    7   0   60   0   2 100  1 2  0
   40   0   60   0  20   0  1 2  0
  150   0   90   0  10   0  1 2  0

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import string
+from html.parser import HTMLParser
 
 import pytest
 import zstandard
@@ -81,6 +82,70 @@ def test_article_text():
     assert html_text.main_texts([ARTICLE], TREE)[0].split("\n") == ["Headé & line", "One two three.", "Short line", "Boldly linked words <p> stay here", "first", "second"]
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article><p class="share-price">The price went up by far.</p></article>', "The price went up by far."),
+    ('<article><div class="tags-explained">What tags are for</div></article>', "What tags are for"),
+    ('<article><h2 id="comment-on-law">Comment on law</h2><p>Some words of text here.</p></article>', "Comment on law\nSome words of text here."),
+    ('<article><p>One paragraph of words.</p><p><a href="x">A paragraph that is a link as a whole</a></p><p>Another paragraph of words here.</p></article>', "One paragraph of words.\nA paragraph that is a link as a whole\nAnother paragraph of words here."),
+    ("<article><p>As <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", "As x=1 holds."),
+    ('<html class="js widget"><body class="page has-sidebar"><div class="widget"><main><p>Words of the main text in a wrapper.</p><p class="share-buttons">Share this now</p><ul class="relatedPosts"><li>Other text</li></ul></main></div></body></html>', "Words of the main text in a wrapper."),
+    ('<div class="elementor-widget"><article><p>Words of an article in a wrapper.</p><div class="cookie-notice-box">We use cookies here</div><div id="comments-area"><p>A reader says so</p></div></article></div>', "Words of an article in a wrapper."),
+])
+def test_names_are_whole(page, text):
+    assert html_text.main_texts([page], TREE) == [text]
+
+
+class Outline(HTMLParser):
+    """An independent reading of well-formed pages: paragraphs and headings of the article, in order, by a parser's tree."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.path, self.out, self.now = [], [], None
+        self.feed(page)
+        self.close()
+        self._end()
+
+    def _end(self):
+        if self.now is not None and (text := " ".join("".join(self.now).split())):
+            self.out.append(text)
+        self.now = None
+
+    def handle_starttag(self, tag, attributes):
+        if tag in ("br", "meta", "link", "img", "hr", "input"):
+            if tag == "br" and self.now is not None:
+                self.now.append(" ")
+            return
+        if tag in ("p", "li") and self.path and self.path[-1][0] == tag:
+            self.path.pop()
+        inside = bool(self.path) and self.path[-1][1] or tag == "article"
+        out = bool(self.path) and self.path[-1][2] or tag in ("nav", "aside", "footer", "form", "script", "style") or dict(attributes).get("class") == "ad"
+        if tag not in ("a", "b", "i", "em", "strong", "span"):
+            self._end()
+        self.path.append((tag, inside, out))
+
+    def handle_endtag(self, tag):
+        while any(t == tag for t, *_ in self.path):
+            gone = self.path.pop()[0]
+            if gone not in ("a", "b", "i", "em", "strong", "span"):
+                self._end()
+            if gone == tag:
+                break
+
+    def handle_data(self, data):
+        if self.path and self.path[-1][1] and not self.path[-1][2]:
+            self.now = [*(self.now or []), data]
+
+
+def test_whole_table_equals_a_parser_tree(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    rows = pages.collect()
+    marked = [r for r in rows if r.html and "<article" in r.html]
+    assert len(got) == len(rows) and len(marked) > len(rows) // 2
+    wrong = [r.page_id for r in marked if got[r.page_id] != "\n".join(Outline(r.html).out)]
+    assert not wrong, f"{len(wrong)} of {len(marked)}: {wrong[:3]}"
+
+
 def test_page_without_article_element():
     text = html_text.main_texts([
         """<body><div id="header"><a href=/>Site</a></div><div class="menu"><a>a</a> <a>b</a></div><div><h1>A headline of the page</h1><p>First paragraph with enough words to be text, and it goes on for a while until the end of it.</p><p>Second paragraph which also has
