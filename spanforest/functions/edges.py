@@ -41,3 +41,7 @@ def edge_text(u: Column, v: Column, w: Column) -> Column:
 
 def label_text(vertex: Column, component: Column) -> Column:
     return F.format_string("%s: component=%s", vertex.cast("string"), component.cast("string"))
+
+
+def vertex_text(vertex: Column) -> Column:
+    return F.format_string("Node %s", vertex.cast("string"))

@@ -56,17 +56,22 @@ def minimum_spanning_forest(edges: DataFrame, vertices: DataFrame | None = None,
     while left > finish_edges:
         done += 1
         best = written(best_edges(live), "best")
-        taken = best.select("rid").distinct().withColumn("round", F.lit(done))
-        chosen.append(taken)
+        chosen.append(written(best.select("rid").distinct().withColumn("round", F.lit(done)), "chosen"))
         counted = best.agg(F.count("*").alias("components"), F.countDistinct("rid").alias("chosen")).first()
         traces.append((done, left, counted.components, counted.chosen))
         roots = contract(live, best)
         step = roots.select(F.col("component").alias("c"), "root")
-        labels = roots.select(F.col("component").alias("vertex"), F.col("root").alias("component")) if labels is None else written(labels.join(step, F.col("component") == F.col("c"), "left").select("vertex", F.coalesce("root", "component").alias("component")), "labels")
+        older = labels
+        if labels is None:
+            labels = written(roots.select(F.col("component").alias("vertex"), F.col("root").alias("component")), "labels")
+        else:
+            labels = written(labels.join(step, F.col("component") == F.col("c"), "left").select("vertex", F.coalesce("root", "component").alias("component")), "labels")
         following = written(relabelled(live, roots), "live")
-        forget(live)
-        live, left = following, following.count()
+        left = following.count()
+        forget(*(t for t in (live, best, roots, older) if t is not None))
+        live = following
     rest = written(_finished(live, done), "finished")
+    forget(live)  # does nothing before the first round, where these are the ranked edges under other names
     chosen.append(rest.filter("kind = 0").select(F.col("a").alias("rid"), F.col("b").cast("int").alias("round")))
     step = rest.filter("kind = 1").select(F.col("a").alias("c"), F.col("b").alias("root"))
     labels = step.select(F.col("c").alias("vertex"), F.col("root").alias("component")) if labels is None else labels.join(step, F.col("component") == F.col("c"), "left").select("vertex", F.coalesce("root", "component").alias("component"))
@@ -87,8 +92,9 @@ def minimum_spanning_forest(edges: DataFrame, vertices: DataFrame | None = None,
 
 
 def forest_weight(forest: DataFrame) -> DataFrame:
-    """edges and weight of a forest; weights are summed as decimals, so the sum doesn't depend on their order."""
-    return forest.agg(F.count("*").alias("edges"), F.coalesce(F.sum(F.col("w").cast("decimal(28,2)")), F.lit(0)).cast("double").alias("weight"))
+    """edges and weight of a forest: decimals are summed at their own scale, other numbers as doubles."""
+    w = F.col("w") if dict(forest.dtypes)["w"].startswith("decimal") else F.col("w").cast("double")
+    return forest.agg(F.count("*").alias("edges"), F.coalesce(F.sum(w).cast("double"), F.lit(0.0)).alias("weight"))
 
 
 def tree_weight(pairs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -17,21 +17,36 @@ def best_edges(live: DataFrame) -> DataFrame:
     return live.select(F.explode(F.array("cu", "cv")).alias("component"), "rid").groupBy("component").agg(F.min("rid").alias("rid"))
 
 
-def min_edge_per_vertex(ranked: DataFrame) -> DataFrame:
+def lightest(edges: DataFrame) -> DataFrame:
+    """vertex, other, w: the lightest edge at each vertex of (u, v, w), of equal ones that with the smaller other end.
+
+    That is the order (w, u, v) as far as one vertex sees it. One aggregate with
+    partial sums: nothing is ranked or joined, and a hub is one row a task.
+    """
+    end = lambda at, to: F.struct(F.col(at).alias("vertex"), F.col(to).alias("other"))
+    both = edges.select(F.explode(F.array(end("u", "v"), end("v", "u"))).alias("e"), "w")
+    best = both.groupBy("e.vertex").agg(F.min(F.struct("w", "e.other")).alias("best"))
+    return best.select("vertex", F.col("best.other").alias("other"), F.col("best.w").alias("w"))
+
+
+def min_edge_per_vertex(edges: DataFrame) -> DataFrame:
     """vertex, u, v, w: the lightest edge at each vertex, ties by (u, v)."""
-    best = best_edges(ranked.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "rid"))
-    return best.join(ranked, "rid").select(F.col("component").alias("vertex"), "u", "v", "w")
+    return lightest(edges).select("vertex", F.least("vertex", "other").alias("u"), F.greatest("vertex", "other").alias("v"), "w")
 
 
 def contract(live: DataFrame, best: DataFrame) -> DataFrame:
-    """component, root: where each component of live(cu, cv, rid) goes when its best edge is taken.
+    """component, root: where each component of live(cu, cv, rid) goes when its best edge is taken."""
+    return settled(best.join(live, "rid").select("component", F.when(F.col("component") == F.col("cu"), F.col("cv")).otherwise(F.col("cu")).alias("root")))
+
+
+def settled(hook: DataFrame) -> DataFrame:
+    """component, root: the end of the way from each component over hook(component, root), written.
 
     Each component points to the other end of its best edge. Under a total order
     the only rings are pairs that point to each other, and there the smaller id
     stays; then every pointer is replaced by its target's until all are roots,
     which doubles their reach each time.
     """
-    hook = best.join(live, "rid").select("component", F.when(F.col("component") == F.col("cu"), F.col("cv")).otherwise(F.col("cu")).alias("root"))
     hook = written(hook, "hooks")
     back = hook.select(F.col("component").alias("root"), F.col("root").alias("again"))
     mutual = (F.col("again") == F.col("component")) & (F.col("component") < F.col("root"))
@@ -42,7 +57,9 @@ def contract(live: DataFrame, best: DataFrame) -> DataFrame:
         jumped = written(pointer.join(target, "root").select("component", F.col("beyond").alias("root"), (F.col("beyond") != F.col("root")).alias("moved")), "pointers")
         forget(pointer)
         pointer = jumped
-    return pointer.select("component", "root")
+    roots = pointer.select("component", "root")
+    roots._written_to = pointer._written_to
+    return roots
 
 
 def relabelled(live: DataFrame, roots: DataFrame) -> DataFrame:
@@ -68,7 +85,7 @@ def smallest_names(labels: DataFrame) -> DataFrame:
     return labels.join(least, "component").select("vertex", F.col("least").alias("component"))
 
 
-def first_round(ranked: DataFrame) -> DataFrame:
-    """labels(vertex, component) after one round."""
-    live = ranked.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "rid")
-    return smallest_names(contract(live, best_edges(live)).select(F.col("component").alias("vertex"), F.col("root").alias("component")))
+def first_round(edges: DataFrame) -> DataFrame:
+    """labels(vertex, component) after one round over (u, v, w)."""
+    roots = settled(lightest(edges).select(F.col("vertex").alias("component"), F.col("other").alias("root")))
+    return smallest_names(roots.select(F.col("component").alias("vertex"), F.col("root").alias("component")))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +16,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; a
     temporary one is set only where none is, as in tests in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder:
         folder = Path(tempfile.mkdtemp(prefix="checkpoint-")).as_uri()
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-#: Folders that were made in the shared one, in order; see `swept`.
-_made: list[str] = []
+#: Folders made since the innermost `swept` of this thread began; what other threads make is theirs.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
@@ -30,8 +33,10 @@ def new_folder(spark: SparkSession, what: str) -> str:
     folder = shared_folder(spark)
     if ":" not in folder.split("/")[0]:
         folder = Path(folder).absolute().as_uri()
-    _made.append(f"{folder}/{what}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{folder}/{what}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -49,23 +54,30 @@ def forget(*tables: DataFrame) -> None:
     """Deletes written tables that no later step reads, so that rounds don't pile up on disk."""
     for table in tables:
         if path := getattr(table, "_written_to", None):
-            _delete(table.sparkSession, path)
+            delete(table.sparkSession, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-    if path in _made:
-        _made.remove(path)
+    if (made := _made.get()) and path in made:
+        made.remove(path)
 
 
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Deletes at its end what was written inside, but for the tables in the list it gives."""
-    before, kept = set(_made), []
+    """Deletes at its end what was written inside by this thread, but for the tables in the list it gives."""
+    kept: list[DataFrame] = []
+    outer, own = _made.get(), []
+    token = _made.set(own)
     try:
         yield kept
     finally:
+        _made.reset(token)
         stay = {getattr(t, "_written_to", None) for t in kept}
-        for path in [p for p in _made if p not in before and p not in stay]:
-            _delete(spark, path)
+        for path in own:
+            if path not in stay:
+                delete(spark, path)
+            elif outer is not None:
+                outer.append(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.edges import edge_text, jittered
+from ..functions.edges import edge_text, jittered, label_text, vertex_text
 from ..operators import prepare, rounds
 from ..operators.components import connected_components
 from ..operators.forest import forest_weight, minimum_spanning_forest
@@ -123,18 +123,18 @@ def edge_text_lines(spark, sf_dir):
   select vertex, u, v, w, row_number() over (partition by vertex order by w, u, v) as rn
   from (select u as vertex, u, v, w from g union all select v, u, v, w from g)) where rn = 1""")
 def min_edge_per_vertex(spark, sf_dir):
-    return _double(rounds.min_edge_per_vertex(prepare.ranked_edges(part_supplier(spark, sf_dir))))
+    return _double(rounds.min_edge_per_vertex(part_supplier(spark, sf_dir)))
 
 
 @query(labels_sql(chosen_sql("part_supplier")))
 def contract_round1(spark, sf_dir):
-    return rounds.first_round(prepare.ranked_edges(part_supplier(spark, sf_dir)))
+    return rounds.first_round(part_supplier(spark, sf_dir))
 
 
 @query(f"with labels as ({labels_sql(chosen_sql('part_supplier'))}), g as ({GRAPH_SQL['part_supplier']}) select u, v, cast(w as double) as w, a.component as cu, b.component as cv from g join labels a on a.vertex = u join labels b on b.vertex = v where a.component <> b.component")
 def filter_edges_round1(spark, sf_dir):
-    ranked = prepare.ranked_edges(part_supplier(spark, sf_dir))
-    return _double(rounds.filter_edges(ranked.select("u", "v", "w"), rounds.first_round(ranked)))
+    edges = part_supplier(spark, sf_dir)
+    return _double(rounds.filter_edges(edges, rounds.first_round(edges)))
 
 
 @query(f"select distinct component from ({labels_sql(chosen_sql('part_supplier'))})")
@@ -180,6 +180,23 @@ def round_trace(spark, sf_dir):
     return minimum_spanning_forest(part_supplier(spark, sf_dir)).trace
 
 
+@query(f"""with g as ({GRAPH_SQL['part_supplier']}) select 1 as round, (select count(*) from g) as live_edges, (select count(*) from (select u from g union select v from g)) as components,
+(select count(*) from ({chosen_sql('part_supplier')})) as chosen_edges""")
+def round_trace_first(spark, sf_dir):
+    """The trace's first row, which SQL can say without rounds."""
+    return round_trace(spark, sf_dir).filter("round = 1")
+
+
+@query(f"with g as ({GRAPH_SQL['nation_trade']}) select 'Node ' || id as line from (select u as id from g union select v from g)")
+def node_text(spark, sf_dir):
+    return prepare.vertices_of(nation_trade(spark, sf_dir)).select(vertex_text(F.col("vertex")).alias("line"))
+
+
+@query(f"select vertex || ': component=' || component as line from ({labels_sql(GRAPH_SQL['part_supplier_sparse'])})", name="label_text")
+def label_text_lines(spark, sf_dir):
+    return components(spark, sf_dir).select(label_text(F.col("vertex"), F.col("component")).alias("line"))
+
+
 RUNS_SQL = """select case event_id % 3 when 0 then 'sequential' when 1 then 'pool' else 'farm' end as engine,
   case when event_id % 3 > 0 then cast(user_id % 8 + 1 as integer) end as workers, cast(event_id % 5 + 1 as integer) as iters, cast(round(value * 1000) as bigint) as usec from events"""
 LINES_SQL = f"""select engine, case when workers is null then engine || '; iters: ' || iters || '; time: ' || usec || ' usec' else 'workers: ' || workers || '; iters: ' || iters || '; time ' || usec || ' usec' end as line from ({RUNS_SQL})"""
@@ -227,11 +244,28 @@ def random_graph(spark, sf_dir):
     return generate_graph(spark, 1000, 5000, seed=42)
 
 
+@query("select 5000 as edges, 5000 as pairs, true as in_order, true as in_range, true as spread")
+def random_graph_facts(spark, sf_dir):
+    """What every draw has: so many different edges, the smaller end first, ids and weights in their ranges and all over them."""
+    w = F.col("w")
+    facts = random_graph(spark, sf_dir).agg(
+        F.count("*").alias("edges"), F.count_distinct("u", "v").alias("pairs"), F.bool_and(F.col("u") < F.col("v")).alias("in_order"),
+        F.bool_and((F.col("u") >= 0) & (F.col("v") < 1000) & (w >= 1) & (w < 10)).alias("in_range"), ((F.min("u") < 20) & (F.max("v") > 980) & (F.min(w) < 1.2) & (F.max(w) > 9.8) & F.avg(w).between(5.2, 5.8)).alias("spread"),
+    )
+    return facts
+
+
 @query()
 def jittered_weights(spark, sf_dir):
     return part_supplier(spark, sf_dir).select("u", "v", jittered(F.col("w").cast("double"), 42).alias("w"))
 
 
+@query(f"select u, v, true as moved_by_less_than_one from ({GRAPH_SQL['part_supplier']})")
+def jittered_weights_facts(spark, sf_dir):
+    one, other = part_supplier(spark, sf_dir).select("u", "v", F.col("w").cast("double").alias("was")), jittered_weights(spark, sf_dir)
+    return one.join(other, ["u", "v"]).select("u", "v", (F.abs(F.col("w") - F.col("was")) <= 1).alias("moved_by_less_than_one"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

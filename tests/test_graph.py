@@ -1,4 +1,7 @@
 import random
+import threading
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from spanforest.functions.edges import jittered, uniform
 from spanforest.operators import local, prepare, rounds
 from spanforest.operators.components import connected_components
 from spanforest.operators.forest import forest_weight, minimum_spanning_forest, tree_weight
-from spanforest.operators.state import forget, written
+from spanforest.operators.state import forget, swept, written
 
 F1 = [(0, 1, 1.0), (2, 3, 1.1), (4, 5, 1.2), (0, 2, 3.0), (3, 5, 4.0), (1, 4, 7.0)]
 F2 = [(0, 1, 1.0), (2, 3, 1.1), (4, 5, 1.2), (6, 7, 1.3), (0, 2, 2.0), (4, 6, 2.5), (0, 4, 9.0)]
@@ -84,7 +87,55 @@ def test_random_graphs_against_kruskal(spark, seed):
         traces.append(sorted(map(tuple, result.trace.collect())))
     assert traces[0] == traces[1] == traces[2]
     weight = forest_weight(result.edges).first()
-    assert weight.edges == len(want[0]) and weight.weight == pytest.approx(sum(w for *_, w in want[0]), abs=0.01 * n)
+    assert weight.edges == len(want[0]) and weight.weight == pytest.approx(sum(w for *_, w in want[0]), rel=1e-9)
+
+
+def test_weights_below_a_cent_and_wide_decimals(spark):
+    path = edges_of(spark, [(i, i + 1, 0.004) for i in range(100)])
+    assert tuple(forest_weight(path).first()) == (100, pytest.approx(0.4, rel=1e-9))
+    fine = edges_of(spark, [(i, i + 1, 0.0) for i in range(3)]).withColumn("w", F.lit("0.000000123456").cast("decimal(20,12)"))
+    assert forest_weight(fine).first().weight == pytest.approx(3 * 0.000000123456, rel=1e-9)
+    assert tuple(forest_weight(path.limit(0)).first()) == (0, 0.0)
+
+
+def folders(spark):
+    return {p.name for p in Path(urlparse(spark.conf.get("spark.checkpoint.dir")).path).iterdir()}
+
+
+def test_only_what_results_read_stays(spark):
+    rng = random.Random(12)
+    edges = written(prepare.prepare_edges(edges_of(spark, [(rng.randrange(300), rng.randrange(300), rng.random()) for _ in range(900)])), "edges")
+    before = folders(spark)
+    result = minimum_spanning_forest(edges, finish_edges=0)
+    rounds_ = result.trace.count()
+    made = sorted(n.split("-")[0] for n in folders(spark) - before)
+    assert rounds_ > 2 and made == sorted(["ranked", "finished", "labels", *["chosen"] * rounds_])
+    assert result.edges.count() == len(kruskal([tuple(r) for r in edges.collect()])[0])
+    with swept(spark) as kept:
+        kept.append(written(minimum_spanning_forest(edges, finish_edges=0).edges, "result"))
+    assert kept[0].count() == result.edges.count() and [n.split("-")[0] for n in folders(spark) - before if n.split("-")[0] not in made] == ["result"]
+
+
+def test_threads_sweep_their_own_tables(spark):
+    held, swept_once = threading.Event(), threading.Event()
+    found = []
+
+    def reads():
+        table = written(spark.range(5), "other")
+        held.set()
+        swept_once.wait(60)
+        found.append(table.count())
+
+    with swept(spark):
+        other = threading.Thread(target=reads)
+        other.start()
+        assert held.wait(60)
+        gone = written(spark.range(3), "own")
+    swept_once.set()
+    other.join(60)
+    assert found == [5]
+    with pytest.raises(Exception):  # noqa: B017
+        gone.count()
 
 
 def test_forest_of_a_union_is_the_forest_of_forests(spark):
@@ -112,12 +163,18 @@ def test_components(spark, finish):
 
 
 def test_single_steps(spark):
-    ranked = prepare.ranked_edges(prepare.prepare_edges(edges_of(spark, F1)))
+    edges = prepare.prepare_edges(edges_of(spark, F1))
+    ranked = prepare.ranked_edges(edges)
     order = [(r.w, r.u, r.v) for r in ranked.orderBy("rid").collect()]
     assert order == sorted(order)
-    best = {r.vertex: (r.u, r.v) for r in rounds.min_edge_per_vertex(ranked).collect()}
+    best = {r.vertex: (r.u, r.v) for r in rounds.min_edge_per_vertex(edges).collect()}
     assert best == {0: (0, 1), 1: (0, 1), 2: (2, 3), 3: (2, 3), 4: (4, 5), 5: (4, 5)}
-    labels = rounds.first_round(ranked)
+    rng = random.Random(5)
+    ties = [(rng.randrange(30), rng.randrange(30), float(rng.randrange(3))) for _ in range(200)]
+    by_rank = prepare.ranked_edges(prepare.prepare_edges(edges_of(spark, ties)))
+    first = rounds.best_edges(by_rank.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "rid")).join(by_rank, "rid").select("component", "u", "v", "w")
+    assert sorted(map(tuple, rounds.min_edge_per_vertex(prepare.prepare_edges(edges_of(spark, ties))).collect())) == sorted(map(tuple, first.collect()))
+    labels = rounds.first_round(edges)
     assert {r.vertex: r.component for r in labels.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
     assert {r.component for r in rounds.component_roots(labels).collect()} == {0, 2, 4}
     left = rounds.filter_edges(ranked.select("u", "v", "w"), labels)
@@ -149,11 +206,17 @@ def test_plans(spark):
     ranked = prepare.ranked_edges(prepare.prepare_edges(edges_of(spark, F1)))
     live = ranked.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "rid")
     best = rounds.best_edges(live)
-    for df in (best, rounds.min_edge_per_vertex(ranked), rounds.relabelled(live, written(rounds.contract(live, best), "roots"))):
+    for df in (best, rounds.relabelled(live, written(rounds.contract(live, best), "roots"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "HashAggregate" in plan and "SortAggregate" not in plan and "SinglePartition" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_a_single_step_is_one_shuffle(spark):
+    edges = written(prepare.prepare_edges(edges_of(spark, F1)), "edges")
+    plan = rounds.min_edge_per_vertex(edges)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "rangepartitioning" not in plan
+
+
 def test_forgotten_tables_are_gone(spark):
     table = written(spark.range(3), "x")
     assert table.count() == 3

@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +108,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["--nodes", "30", "--edges", "60", "--iters", "2", "--out", str(tmp_path / "forest")]) == 0
     said = capsys.readouterr().out
     assert "edges: 60" in said and said.count("iters:") == 2 and spark.read.parquet(str(tmp_path / "forest")).count() > 20
-    with pytest.raises(SystemExit) as stop:
-        cli.main(["--nodes", "many"])
-    assert stop.value.code != 0
+    assert said.count("stage rounds:") == 2
+    for wrong in (["--nodes", "many"], ["--workers", "1,x"]):
+        with pytest.raises(SystemExit) as stop:
+            cli.main(wrong)
+        assert stop.value.code != 0
+
+
+def test_sweep_over_workers_writes_a_log(spark, tmp_path):
+    """In a process of its own, as each number of workers has its own session."""
+    log = tmp_path / "runs.log"
+    done = subprocess.run([sys.executable, "-m", "spanforest.cli", "--nodes", "20", "--edges", "40", "--iters", "2", "--workers", "1,2", "--log", str(log)], capture_output=True, text=True, timeout=300, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+    lines = read_run_logs(spark, {"spark": str(log)})
+    runs = parse_run_log(lines)
+    assert sorted((r.workers, r.n) for r in mean_times(runs).collect()) == [(1, 2), (2, 2)] and parse_read_times(lines).count() == 2
+    alone = runs.filter("workers = 1").withColumn("engine", F.lit("sequential"))
+    report = scaling_report(runs.unionByName(alone), "sequential").collect()
+    assert sorted(r.workers for r in report) == [1, 2] and all(r.speedup > 0 for r in report)
+
