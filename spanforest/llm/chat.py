@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.state import forget
 from .common import written
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>", "<|nl|>"
@@ -60,12 +61,16 @@ def paths(messages: DataFrame) -> DataFrame:
         jumps.append(jump)
         second = jump.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("to").alias("beyond"))
         jump = written(jump.join(second, F.expr("conv <=> c and to <=> i")).select("conv", "id", F.col("beyond").alias("to")), "jumps")
+    last = jump
     ring = jump.select(F.col("conv").alias("c"), F.col("id").alias("i"))
     found = written(leaves.join(ring, F.expr("conv <=> c and leaf <=> i"), "left_anti"), "ways")
     for k, jump in enumerate(jumps):
         j = jump.select(F.col("conv").alias("c"), F.col("id").alias("i"), "to")
         further = found.join(j, F.expr("conv <=> c and id <=> i")).select("conv", "leaf", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up"))
-        found = written(found.unionByName(further), "ways")
+        longer = written(found.unionByName(further), "ways")
+        forget(found, jumps[k])
+        found = longer
+    forget(last)
     return found
 
 

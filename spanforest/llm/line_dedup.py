@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, claim, ready, splitmix, written
+from .common import binary, blocks, claim, ready, splitmix, swept, written
 from .words import powers_to
 
 #: Lines that the rolling hash looks back on, and one in how many lines ends a chunk.
@@ -238,6 +238,14 @@ def whole_repeats(places: list[dict]) -> list[tuple[int, int, int, int]]:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, begin, size, bytes of each repeat: by hash these bytes, which stand at an earlier place, stand here as well."""
+    with swept(docs.sparkSession) as kept:
+        runs, held = _repeats(docs, id_col, text_col)
+        kept += [runs, held]
+    return runs.join(held, ["source", "at", "size"]).select("doc_id", "begin", "size", "bytes")
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, begin, size, source, at of each repeat, the bytes at the earlier places)."""
     found = written(candidate_table(docs, id_col, text_col).distinct(), "line-candidates")
     # Sums are written before rows are joined with them: Spark splits a skewed join only where both sides come straight from a shuffle.
     first = written(found.groupBy("hash", "size").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first-places")
@@ -273,7 +281,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fetched = texts.join(wanted.hint("merge"), "source").select("source", "text", "places").mapInArrow(fetch, "source long, at long, size long, bytes binary")
     # A place in a row of the same id but another text has other bytes: where they are cut tells them apart.
     held = written(fetched.filter(F.octet_length("bytes") == F.col("size")).distinct(), "earlier-bytes")
-    return runs.join(held, ["source", "at", "size"]).select("doc_id", "begin", "size", "bytes")
+    return runs, held
 
 
 def without(text: bytes, cuts: list[dict]) -> tuple[bytes, int, int]:

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import binary, blocks, claim, fresh, ready, splitmix, written
+from .common import binary, blocks, claim, fresh, ready, splitmix, swept, written
 from .words import Words, windows, words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -326,6 +326,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def grouped(docs: DataFrame, id_col: str, text_col: str, similar: float, rows: int, bands: int) -> DataFrame:
     """doc_id, text_hash, group_id, group_size, kept, for every row."""
     ready(docs.sparkSession)
+    with swept(docs.sparkSession) as kept:  # of the tables written on the way the result reads two
+        told, sizes = _told(docs, id_col, text_col, similar, rows, bands)
+        kept += [told, sizes]
+    return told.join(sizes, "group_id", "left").select(F.col("id").alias("doc_id"), "text_hash", "group_id", "group_size", F.coalesce(F.col("id") == F.col("group_id"), F.lit(True)).alias("kept"))
+
+
+def _told(docs: DataFrame, id_col: str, text_col: str, similar: float, rows: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash and group_id of every row, size of each group)."""
     signed = written(signatures(docs, id_col, text_col, rows, bands), "signatures")
     named = signed.filter("id is not null")
     # Sums are written before rows are joined with them: Spark splits a skewed join only where both sides come straight from a shuffle.
@@ -372,7 +380,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, similar: float, rows: i
     told = named.select("id", "text_hash", *same).join(groups, same, "left").select("id", "text_hash", F.coalesce("group_id", "id").alias("group_id"))
     told = written(told.unionByName(signed.filter("id is null").select("id", "text_hash", F.col("id").alias("group_id"))), "near-rows")
     sizes = written(told.filter("id is not null").select("id", "group_id").distinct().groupBy("group_id").agg(F.count("*").alias("group_size")), "group-sizes")
-    return told.join(sizes, "group_id", "left").select(F.col("id").alias("doc_id"), "text_hash", "group_id", "group_size", F.coalesce(F.col("id") == F.col("group_id"), F.lit(True)).alias("kept"))
+    return told, sizes
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similar: float = SIMILAR, rows: int = ROWS, bands: int = BANDS) -> DataFrame:

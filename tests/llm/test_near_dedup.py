@@ -1,5 +1,7 @@
 import random
 import re
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -119,6 +121,14 @@ def test_hot_change_is_linear(spark, monkeypatch):
     assert many[160] <= 4.5 * many[40] and many[160] <= 5 * 2.6 * 160
 
 
+def test_tables_on_the_way_are_swept(spark):
+    folder = Path(urlparse(spark.conf.get("spark.checkpoint.dir")).path)
+    before = {p.name for p in folder.iterdir()}
+    got = nd.near_duplicates(spark.createDataFrame([(i, "some words that stand here twice or more " * 3 + str(i % 3)) for i in range(30)], "doc_id long, text string"))
+    assert sorted(p.name.split("-")[0] + "-" + p.name.split("-")[1] for p in folder.iterdir() if p.name not in before) == ["group-sizes", "near-rows"]
+    assert got.count() == 30
+
+
 def test_repeated_ids_lose_no_text(spark):
     rng = random.Random(5)
     a, b, c = (" ".join(f"{k}{rng.randrange(900)}" for _ in range(60)) for k in "abc")
