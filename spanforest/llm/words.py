@@ -26,6 +26,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 LOWER, IS_WORD, _VALUE = _tables()
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Powers that a worker keeps, enough for a block of texts.
+_KEPT = 1 << 21
 
 
 def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +41,8 @@ def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(n, base, np.uint64)
             p[0] = 1
             both.append(np.cumprod(p, dtype=np.uint64))
+        if n > _KEPT:  # for one very long text: not held until the worker ends
+            return both[0], both[1]
         _powers = both[0], both[1]
     return _powers
 
@@ -87,9 +91,3 @@ def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         total += w.hash[at + j]
     return at, splitmix(total)
 
-
-def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
-    """The lower-cased words from starts to ends with one space between."""
-    low = LOWER[data[starts[0] : ends[-1]]].tobytes() if len(starts) else b""
-    base = int(starts[0]) if len(starts) else 0
-    return b" ".join(low[s - base : e - base] for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
