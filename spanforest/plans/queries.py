@@ -151,28 +151,29 @@ for _name, _graph in (("nation", nation_trade), ("supplier", supplier_balance),
     _sql[f"spanning_forest_{_name}"] = forest_sql(_graph.__name__)
 
 
-@query(kruskal_sql(GRAPH_SQL["part_supplier_sparse"], "select count(*) as edges, cast(sum(w) as double) as weight from st join k using (r) where keep"), name="forest_weight")
-def forest_weight_sparse(spark, sf_dir):
-    return forest_weight(minimum_spanning_forest(part_supplier_sparse(spark, sf_dir)).edges)
+# Over the whole graph of parts and suppliers, and (`_sparse`) over its cheap edges, which leave it in several components.
+for _name, _graph in (("", part_supplier), ("_sparse", part_supplier_sparse)):
+    _src = GRAPH_SQL[_graph.__name__]
 
+    @query(kruskal_sql(_src, "select count(*) as edges, cast(sum(w) as double) as weight from st join k using (r) where keep"), name=f"forest_weight{_name}")
+    def forest_weight_of(spark, sf_dir, graph=_graph):
+        return forest_weight(minimum_spanning_forest(graph(spark, sf_dir)).edges)
 
-@query(labels_sql(GRAPH_SQL["part_supplier_sparse"]))
-def components(spark, sf_dir):
-    return connected_components(part_supplier_sparse(spark, sf_dir))
+    @query(labels_sql(_src), name=f"components{_name}")
+    def components(spark, sf_dir, graph=_graph):
+        return connected_components(graph(spark, sf_dir))
 
+    @query(f"select component, count(*) as size from ({labels_sql(_src)}) group by 1", name=f"component_sizes{_name}")
+    def component_sizes(spark, sf_dir, graph=_graph):
+        return minimum_spanning_forest(graph(spark, sf_dir)).labels.groupBy("component").agg(F.count("*").alias("size"))
 
-@query(f"select component, count(*) as size from ({labels_sql(GRAPH_SQL['part_supplier_sparse'])}) group by 1")
-def component_sizes(spark, sf_dir):
-    return minimum_spanning_forest(part_supplier_sparse(spark, sf_dir)).labels.groupBy("component").agg(F.count("*").alias("size"))
-
-
-@query(f"""with labels as ({labels_sql(GRAPH_SQL['part_supplier_sparse'])}), pairs as (select distinct l_partkey::bigint as a, (1000000 + l_suppkey)::bigint as b from lineitem)
-select a, b, x.component = y.component as connected from pairs join labels x on x.vertex = a join labels y on y.vertex = b""")
-def connected_pairs(spark, sf_dir):
-    labels = connected_components(part_supplier_sparse(spark, sf_dir))
-    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("bigint").alias("a"), (F.col("l_suppkey") + 1_000_000).cast("bigint").alias("b")).distinct()
-    one = pairs.join(labels.select(F.col("vertex").alias("a"), F.col("component").alias("x")), "a")
-    return one.join(labels.select(F.col("vertex").alias("b"), F.col("component").alias("y")), "b").select("a", "b", (F.col("x") == F.col("y")).alias("connected"))
+    @query(f"""with labels as ({labels_sql(_src)}), pairs as (select distinct l_partkey::bigint as a, (1000000 + l_suppkey)::bigint as b from lineitem)
+select a, b, x.component = y.component as connected from pairs join labels x on x.vertex = a join labels y on y.vertex = b""", name=f"connected_pairs{_name}")
+    def connected_pairs(spark, sf_dir, graph=_graph):
+        labels = connected_components(graph(spark, sf_dir))
+        pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("bigint").alias("a"), (F.col("l_suppkey") + 1_000_000).cast("bigint").alias("b")).distinct()
+        one = pairs.join(labels.select(F.col("vertex").alias("a"), F.col("component").alias("x")), "a")
+        return one.join(labels.select(F.col("vertex").alias("b"), F.col("component").alias("y")), "b").select("a", "b", (F.col("x") == F.col("y")).alias("connected"))
 
 
 @query()
@@ -194,7 +195,7 @@ def node_text(spark, sf_dir):
 
 @query(f"select vertex || ': component=' || component as line from ({labels_sql(GRAPH_SQL['part_supplier_sparse'])})", name="label_text")
 def label_text_lines(spark, sf_dir):
-    return components(spark, sf_dir).select(label_text(F.col("vertex"), F.col("component")).alias("line"))
+    return connected_components(part_supplier_sparse(spark, sf_dir)).select(label_text(F.col("vertex"), F.col("component")).alias("line"))
 
 
 RUNS_SQL = """select case event_id % 3 when 0 then 'sequential' when 1 then 'pool' else 'farm' end as engine,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanforest import cli
 from spanforest.operators.prepare import dedupe_edges, prepare_edges
 from spanforest.plans.metrics import mean_times, scaling_report
-from spanforest.sources.edge_list import generate_graph, load_graph, read_edges, write_edges
+from spanforest.sources.edge_list import first_rows, generate_graph, load_graph, read_edges, write_edges
 from spanforest.sources.run_log import parse_read_times, parse_run_log, read_run_logs, run_log_lines
 from spanforest.streaming.forest import maintain_forest
 
@@ -127,3 +127,11 @@ def test_sweep_over_workers_writes_a_log(spark, tmp_path):
     report = scaling_report(runs.unionByName(alone), "sequential").collect()
     assert sorted(r.workers for r in report) == [1, 2] and all(r.speedup > 0 for r in report)
 
+
+
+@pytest.mark.parametrize("n", [0, 1, 499, 500, 1000, 2000])
+def test_first_rows(spark, n):
+    df = spark.range(1000, numPartitions=7).withColumn("k", F.xxhash64("id") % 40)
+    rows = first_rows(df, F.col("k"), n)
+    got = [r.k for r in rows.collect()]
+    assert rows.columns == ["id", "k"] and sorted(got) == sorted(r.k for r in df.collect())[:n]
