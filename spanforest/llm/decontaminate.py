@@ -27,6 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BLOCK_BYTES as LOOK_BYTES
 from .common import binary, blocks, claim, ready
 from .words import LOWER, Words, windows, words
 
@@ -134,6 +135,11 @@ def _each(broadcasts: list[Broadcast]) -> Iterator[Block]:
             b.__dict__.pop("_value", None)
 
 
+def _reach(broadcasts: list[Broadcast]) -> int:
+    """Bytes of text to look at in one go: more where there are more blocks, each of which is loaded again for them."""
+    return LOOK_BYTES * min(8, max(1, len(broadcasts)))
+
+
 def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> list[Broadcast]:
     spark = docs.sparkSession
     ready(spark)
@@ -148,7 +154,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         claim("decontaminate")
         for batch in batches:
             whole, bytes_ = binary(batch.column(1))
-            for at, to in blocks(whole):
+            for at, to in blocks(whole, _reach(held)):
                 offsets, data = whole[at : to + 1] - whole[at], bytes_[whole[at] : whole[to]]
                 w = words(offsets, data)
                 covered = np.zeros(len(w.hash), bool)
@@ -189,7 +195,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
         claim("decontaminate")
         for batch in batches:
             whole, bytes_ = binary(batch.column(place))
-            for at, to in blocks(whole):
+            for at, to in blocks(whole, _reach(held)):
                 offsets, data = whole[at : to + 1] - whole[at], bytes_[whole[at] : whole[to]]
                 w = words(offsets, data)
                 covered = np.zeros(len(w.hash), bool)

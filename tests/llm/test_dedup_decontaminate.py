@@ -106,6 +106,8 @@ def test_hits_equal_brute_force(spark, block_bytes):
     items = [(i, say(rng.choice([0, 1, 3, 9, 10, 11, 30]))) for i in range(25)] + [(100, None), (101, ""), (None, "null item words here"), (9, "again the same id"), (3, "of of of of")]
     docs = [(i, say(rng.choice([0, 1, 5, 40, 400]))) for i in range(60)] + [(200, None), (201, ""), (202, "ENDS WITH a"), (203, items[5][1]), (203, items[5][1]), (204, "x " * 30000 + (items[-4][1] or "")), (None, "again The same-ID")]
     docs += [(300 + k, f"before {t} after") for k, (_, t) in enumerate(items)]
+    docs.append((400, say(200_000) + (items[-4][1] or "") + say(90_000)))  # goes alone
+    assert len(docs[-1][1].encode()) > decontaminate.LOOK_BYTES
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.scan(docs_of(spark, docs), bench, block_bytes=block_bytes)
     rows = got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
@@ -121,4 +123,8 @@ def test_removal(spark):
     assert cut.columns == docs.columns and {r.doc_id: r.text for r in cut.collect()} == {1: "Éa , end", 2: "clean", 3: None}
     none = bench.filter(F.lit(False))
     assert decontaminate.remove(docs, none).count() == 3
+    many = spark.createDataFrame([(k, text if k == 7 else f"other {k} words of item") for k in range(20)], "item_id long, text string")
+    for what in ("documents", "spans"):
+        one, several = (decontaminate.remove(docs, many, what=what, block_bytes=b).collect() for b in (8 << 20, 50))
+        assert sorted(map(repr, one)) == sorted(map(repr, several)) and len(one) == (2 if what == "documents" else 3)
     assert decontaminate.scan(docs.filter(F.lit(False)), bench).count() == 0
