@@ -53,15 +53,16 @@ class _Pairs:
     def __init__(self, ids: np.ndarray, counts: np.ndarray, base: int, least: int):
         self.n, self.base, self.least = len(ids), base, least
         n = self.n
-        self.symbol = np.zeros(n + 1, np.uint32)
-        self.symbol[:n] = ids
-        # Places of the neighbours in the same document; n is none.
-        self.after, self.before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        # What is known of a place stands together, as it is read together: from far and wide, at the price of memory.
+        grid = np.empty((n + 1, 4), np.int32)
+        self.symbol, self.after, self.before, self.pair_at = grid[:, 0].view(np.uint32), grid[:, 1], grid[:, 2], grid[:, 3]
+        self.symbol[:n], self.symbol[n] = ids, 0
+        # Places of the neighbours in the same document; n is none. A place that is no more has a negative one before it.
+        self.after[:], self.before[:] = np.arange(1, n + 2), np.arange(-1, n)
         ends = np.cumsum(counts)[counts > 0]
         self.after[ends - 1] = self.after[n] = n
         self.before[0] = self.before[ends] = n
-        self.gone = np.zeros(n, bool)
-        self.pair_at = np.full(n + 1, -1, np.int32)  # of each place: its pair, if it is frequent
+        self.pair_at[:] = -1  # of each place: its pair, if it is frequent
         self.often, self.pair, self.twin = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, bool)
         self.lots: list[np.ndarray] = []  # places, those of a pair in a row: its lot, where they begin there and where they end
         self.lot, self.begin, self.end = np.zeros((3, 1 << 12), np.int64)
@@ -157,8 +158,12 @@ class _Pairs:
         self.pair_at[ahead] = -1
         lost = np.concatenate(lost)
         lost = lost[lost >= 0]
-        np.subtract.at(self.often, lost[~self.twin[lost]].astype(np.intp), 1)
-        self.gone[second] = True
+        lost = lost[~self.twin[lost]]
+        if len(lost) * 8 > self.known:
+            self.often[: self.known] -= np.bincount(lost, minlength=self.known).astype(np.int32)
+        else:
+            np.subtract.at(self.often, lost.astype(np.intp), 1)
+        self.before[second] = -1
         self.after[at] = beyond
         self.before[beyond] = at
         ahead = self.before[at].astype(np.intp)
@@ -176,7 +181,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, least: int = LEAST)
     rules = []
     while (replaced := pairs.replace_most_frequent()) is not None:
         rules.append(replaced)
-    live = ~pairs.gone
+    live = pairs.before[:-1] >= 0
     whole = np.concatenate([[0], np.cumsum(live)])
     cut = np.concatenate([[0], np.cumsum(counts)])
     rules = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
