@@ -106,41 +106,46 @@ class PieceTokenizer:
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def _numbered(self, known: dict[str, int], pieces: list[str]) -> tuple[list[int], list[str]]:
-        """(the number of each piece, the pieces that had none)."""
-        found = list(map(known.get, pieces))
-        if None not in found:
-            return found, []
-        new = list(dict.fromkeys(p for p, n in zip(pieces, found, strict=True) if n is None))
-        known.update(zip(new, range(self.pieces, self.pieces + len(new)), strict=True))
-        self.pieces += len(new)
-        return list(map(known.__getitem__, pieces)), new
-
-    def _words(self, known: dict[str, int], new: list[str], lead: str) -> list[str]:
-        """Encodes the new pieces that are letters, or letters and marks; returns the others."""
-        bare, marked, stems, after, others = [], [], [], [], []
-        for p in new:
+    def _numbered(self, known: dict[str, int], pieces: list[str]) -> tuple[np.ndarray, list[str], range]:
+        """(the number of each piece, the pieces that had none, their numbers)."""
+        found = np.fromiter(map(known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(found < 0)
+        new = [pieces[i] for i in missing.tolist()]
+        own = dict(zip(dict.fromkeys(new), itertools.count(self.pieces), strict=False))
+        numbers = range(self.pieces, self.pieces + len(own))
+        self.pieces += len(own)
+        found[missing] = numbers if len(own) == len(new) else [own[p] for p in new]
+        known.update(own)
+        return found, list(own), numbers
+
+    def _words(self, known: dict[str, int], new: list[str], numbers: range, lead: str) -> tuple[list[str], list[int]]:
+        """Encodes the new pieces that are letters, or letters and marks; returns the others and their numbers."""
+        bare, bare_at, marked_at, stems, after, others, others_at = [], [], [], [], [], [], []
+        for p, number in zip(new, numbers, strict=True):
             if p.isascii() and p.isalpha():
                 bare.append(p)
+                bare_at.append(number)
             elif word := _WORD.fullmatch(p):
                 letters, marks = word.groups()
                 if marks:
-                    marked.append(p)
+                    marked_at.append(number)
                     stems.append(letters)
                     after.append(marks)
                 else:
                     bare.append(p)
+                    bare_at.append(number)
             else:
                 others.append(p)
-        stems, more = self._numbered(known, stems)
-        stems = np.array(stems, np.int64)
+                others_at.append(number)
+        stems, more, more_at = self._numbered(known, stems)
         bare += more
+        bare_at += more_at
         if bare:
             space, split, alphabet = "\u0120" if lead else "", self.model.tokenize, self.alphabet
             ids = [[t.id for t in split(space + (p if p.isascii() else p.encode().decode("latin-1").translate(alphabet)))] for p in bare]
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._keep(np.fromiter(map(known.__getitem__, bare), np.int64, len(bare)), np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum())), counts)
-        if marked:
+            self._keep(np.array(bare_at, np.int64), np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum())), counts)
+        if marked_at:
             for m in set(after) - self.marks.keys():
                 self.marks[m] = self.tokenizer.encode(m, add_special_tokens=False).ids
             more = [self.marks[m] for m in after]
@@ -152,18 +157,18 @@ class PieceTokenizer:
             ids = np.empty(len(place), np.uint32)
             ids[letters] = self.flat[(np.repeat(self.begin[stems], counts) + place)[letters]]
             ids[~letters] = np.fromiter(itertools.chain.from_iterable(more), np.uint32, int(size.sum()))
-            self._keep(np.fromiter(map(known.__getitem__, marked), np.int64, len(marked)), ids, counts)
+            self._keep(np.array(marked_at, np.int64), ids, counts)
             if len(self.marks) > 1 << 16:
                 self.marks = {"": []}
-        return others
+        return others, others_at
 
-    def _numbers(self, known: dict[str, int], pieces: list[str], lead: str) -> list[int]:
-        found, new = self._numbered(known, pieces)
+    def _numbers(self, known: dict[str, int], pieces: list[str], lead: str) -> np.ndarray:
+        found, new, number_of = self._numbered(known, pieces)
         if self.model is not None:
-            new = self._words(known, new, lead)
+            new, number_of = self._words(known, new, number_of, lead)
         for i in range(0, len(new), _CALL):
             part = new[i : i + _CALL]
-            numbers = np.fromiter(map(known.__getitem__, part), np.int64, len(part))
+            numbers = np.array(number_of[i : i + _CALL], np.int64)
             ids = counts = None
             if not lead and self.feed is not None and all(map(_bare, part)):
                 # Words with a line feed between, which is one token.
@@ -247,7 +252,7 @@ class PieceTokenizer:
                 heads.append(parts.pop(0))
                 tails += parts
             lines_of.append(len(lines))
-        return self._in_line(np.array(sizes, np.int64), np.array(lines_of, np.int64), np.array(self._numbers(self.plain, heads, ""), np.int64), np.array(self._numbers(self.spaced, tails, " "), np.int64), end_id)
+        return self._in_line(np.array(sizes, np.int64), np.array(lines_of, np.int64), self._numbers(self.plain, heads, ""), self._numbers(self.spaced, tails, " "), end_id)
 
     @contextlib.contextmanager
     def _uncollected(self) -> Iterator[None]:
