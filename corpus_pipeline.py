@@ -4,6 +4,12 @@ Each stage is one operator over all that its predecessor kept, and its result
 is written as Parquet and read again as the next one's documents: a stage that
 fails is run again from there, and no plan grows over stages. All but the last
 keep the columns of `documents` as they are.
+
+Defined results: documents whose text is null, empty or without a letter go in
+the first stage; of repeated rows one stays in the second; a null id is kept,
+unless a document with an id has the same text; an empty table gives no rows;
+further columns, whatever their names, come through to the last stage, which
+reads only id and text.
 """
 
 from __future__ import annotations
