@@ -50,10 +50,10 @@ def graph_counts(edges: DataFrame) -> DataFrame:
 
 
 def ranked_edges(edges: DataFrame) -> DataFrame:
-    """Adds `rid`, whose order is that of (w, u, v).
+    """Adds `rid`, whose order is that of (w, u, v), a null weight last.
 
     A range shuffle sorts the edges; ids that grow with partition and row then
     keep the order without numbering through one task. They are written at
     once, as they must not be drawn anew.
     """
-    return written(edges.select("u", "v", "w").orderBy("w", "u", "v").withColumn("rid", F.monotonically_increasing_id()), "ranked")
+    return written(edges.select("u", "v", "w").orderBy(F.col("w").asc_nulls_last(), "u", "v").withColumn("rid", F.monotonically_increasing_id()), "ranked")

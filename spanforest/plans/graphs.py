@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.nearest import nearest_edges
+
 PRICE = "cast(l_extendedprice as decimal(18,2))"
 
 
@@ -29,13 +31,22 @@ def nation_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.agg(F.sum("w").alias("w"))
 
 
+def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k"), F.col("s_acctbal").cast("decimal(18,2)").alias("b"))
+
+
 def supplier_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete over the suppliers by definition: as many edges as pairs."""
-    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k"), F.col("s_acctbal").cast("decimal(18,2)").alias("b"))
+    own = supplier_points(spark, sf_dir)
     other = own.select(F.col("k").alias("l"), F.col("b").alias("c"))
     return own.join(other, F.col("k") < F.col("l")).select(F.col("k").alias("u"), F.col("l").alias("v"), F.abs(F.col("b") - F.col("c")).alias("w"))
 
 
+def supplier_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of `supplier_balance` that its minimum spanning forest can have, without making the others."""
+    return nearest_edges(supplier_points(spark, sf_dir))
+
+
 def part_supplier(spark: SparkSession, sf_dir: str, below: float | None = None) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice")
     if below is not None:

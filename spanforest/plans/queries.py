@@ -13,7 +13,7 @@ from ..operators.components import connected_components
 from ..operators.forest import forest_weight, minimum_spanning_forest
 from ..sources.edge_list import generate_graph
 from ..sources.run_log import parse_run_log, run_log_lines
-from .graphs import GRAPH_SQL, GRAPHS, SALES_SQL, nation_sales, nation_trade, part_supplier, part_supplier_sparse, supplier_balance, table
+from .graphs import GRAPH_SQL, GRAPHS, SALES_SQL, nation_sales, nation_trade, part_supplier, part_supplier_sparse, supplier_nearest, table
 from .metrics import mean_times, scaling_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,9 +146,9 @@ def _forest(graph: Query) -> Query:
     return lambda spark, sf_dir: _double(minimum_spanning_forest(graph(spark, sf_dir)).edges.select("u", "v", "w"))
 
 
-for _name, _graph in (("nation", nation_trade), ("supplier", supplier_balance), ("part_supplier", part_supplier), ("sparse", part_supplier_sparse)):
+for _name, _graph, _sql_of in (("nation", nation_trade, "nation_trade"), ("supplier", supplier_nearest, "supplier_balance"), ("part_supplier", part_supplier, "part_supplier"), ("sparse", part_supplier_sparse, "part_supplier_sparse")):
     _queries[f"spanning_forest_{_name}"] = _forest(_graph)
-    _sql[f"spanning_forest_{_name}"] = forest_sql(_graph.__name__)
+    _sql[f"spanning_forest_{_name}"] = forest_sql(_sql_of)
 
 
 # Over the whole graph of parts and suppliers, and (`_sparse`) over its cheap edges, which leave it in several components.
