@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.edges import rebased
 from .state import written
 
 
@@ -15,6 +16,11 @@ def clean_edges(df: DataFrame, src: str = "u", dst: str = "v", weight: str = "w"
     return usable.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), w.alias("w"), *(F.col(k) for k in keep))
 
 
+def rebased_edges(edges: DataFrame, id_offset: int) -> DataFrame:
+    """Every edge as it stands, loops and larger first ends too, with ids that begin elsewhere."""
+    return edges.withColumns({end: rebased(F.col(end), id_offset) for end in ("u", "v")})
+
+
 def symmetric_edges(edges: DataFrame) -> DataFrame:
     """src, dst, w: each edge in both directions, in one pass over the edges."""
     both = F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))

@@ -81,7 +81,7 @@ def edges_symmetric(spark, sf_dir):
 
 @query(f"select u - 1 as u, v - 1 as v, cast(w as double) as w from ({GRAPH_SQL['part_supplier']})")
 def edges_rebased(spark, sf_dir):
-    return _double(prepare.clean_edges(part_supplier(spark, sf_dir), id_offset=1))
+    return _double(prepare.rebased_edges(part_supplier(spark, sf_dir), 1))
 
 
 @query(f"select u, v, cast(w as double) as w from ({GRAPH_SQL['part_supplier']}) order by u, v")

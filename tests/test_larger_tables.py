@@ -58,3 +58,18 @@ def test_supplier_forest_makes_no_pairs(spark, tmp_path):
     assert entry.queries()["spanning_forest_supplier"](spark, str(tmp_path)).count() == 2999
     shared = spark.conf.get("spark.checkpoint.dir")
     assert [spark.read.parquet(f"{shared}/{n}").count() for n in folders(spark) - before if n.startswith("ranked")] == [2999]
+
+
+@pytest.fixture(scope="module")
+def overlapping(tmp_path_factory):
+    """Parts and suppliers whose numbers in the graph are the same: loops, edges in both directions, larger ends first."""
+    folder, rng = tmp_path_factory.mktemp("overlapping"), random.Random(4)
+    rows = [(1_000_000 + rng.randrange(-6, 14), rng.randrange(9), rng.randrange(1, 9) * 400.0) for _ in range(260)] + [(1_000_200, 200, 5.0), (1_000_003, 3, 1.0), (1_000_003, 30, None)]
+    own = pa.table({"l_orderkey": pa.array(range(len(rows)), pa.int64()), "l_linenumber": pa.array([1] * len(rows), pa.int32()), "l_partkey": pa.array([r[0] for r in rows], pa.int64()), "l_suppkey": pa.array([r[1] for r in rows], pa.int64()), "l_extendedprice": pa.array([r[2] for r in rows], pa.float64())})
+    pq.write_table(own, folder / "lineitem.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["edges_rebased"])
+def test_overlapping_ids_equal_sql(spark, overlapping, name):
+    equal_to_sql(spark, overlapping, name)
