@@ -40,7 +40,10 @@ def _finished(live: DataFrame, done: int) -> DataFrame:
 
 
 def minimum_spanning_forest(edges: DataFrame, vertices: DataFrame | None = None, *, finish_edges: int = FINISH_EDGES) -> ForestResult:
-    """The minimum spanning forest of a simple graph (u, v, w), u < v, unique under the order (w, u, v).
+    """The minimum spanning forest of a graph (u, v, w), unique under the order (w, u, v), a null weight last.
+
+    Either end may be the larger one, and a pair may stand there in both
+    directions. A loop is live in the first round, as an edge at its vertex, and never in the forest.
 
     Each round takes every component's first edge and contracts; what is left
     between components shrinks to less than half the components, and parallel
@@ -78,7 +81,7 @@ def minimum_spanning_forest(edges: DataFrame, vertices: DataFrame | None = None,
     every = chosen[0]
     for more in chosen[1:]:
         every = every.unionByName(more)
-    forest = ranked.join(every, "rid").select("u", "v", "w", F.col("round").cast("int").alias("round"))
+    forest = ranked.filter("u <> v").join(every, "rid").select("u", "v", "w", F.col("round").cast("int").alias("round"))
     labels = smallest_names(labels)
     if vertices is not None:
         own = vertices.select(F.col(vertices.columns[0]).cast("bigint").alias("vertex")).filter("vertex is not null").distinct()

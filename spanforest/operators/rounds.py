@@ -18,20 +18,19 @@ def best_edges(live: DataFrame) -> DataFrame:
 
 
 def lightest(edges: DataFrame) -> DataFrame:
-    """vertex, other, w: the lightest edge at each vertex of (u, v, w), of equal ones that with the smaller other end.
+    """vertex, u, v, w: the first edge at each vertex of (u, v, w) in the order (w, u, v), a null weight last.
 
-    That is the order (w, u, v) as far as one vertex sees it. One aggregate with
-    partial sums: nothing is ranked or joined, and a hub is one row a task.
+    Edges stand as they were given: either end may be the larger one, and a loop
+    is an edge at its vertex. One aggregate with partial sums: nothing is ranked
+    or joined, and a hub is one row a task.
     """
-    end = lambda at, to: F.struct(F.col(at).alias("vertex"), F.col(to).alias("other"))
-    both = edges.select(F.explode(F.array(end("u", "v"), end("v", "u"))).alias("e"), "w")
-    best = both.groupBy("e.vertex").agg(F.min(F.struct("w", "e.other")).alias("best"))
-    return best.select("vertex", F.col("best.other").alias("other"), F.col("best.w").alias("w"))
+    both = edges.select(F.explode(F.array("u", "v")).alias("vertex"), F.struct(F.col("w").isNull().alias("last"), "w", "u", "v").alias("e"))
+    return both.groupBy("vertex").agg(F.min("e").alias("e")).select("vertex", "e.u", "e.v", "e.w")
 
 
 def min_edge_per_vertex(edges: DataFrame) -> DataFrame:
     """vertex, u, v, w: the lightest edge at each vertex, ties by (u, v)."""
-    return lightest(edges).select("vertex", F.least("vertex", "other").alias("u"), F.greatest("vertex", "other").alias("v"), "w")
+    return lightest(edges)
 
 
 def contract(live: DataFrame, best: DataFrame) -> DataFrame:
@@ -87,5 +86,6 @@ def smallest_names(labels: DataFrame) -> DataFrame:
 
 def first_round(edges: DataFrame) -> DataFrame:
     """labels(vertex, component) after one round over (u, v, w)."""
-    roots = settled(lightest(edges).select(F.col("vertex").alias("component"), F.col("other").alias("root")))
+    other = F.when(F.col("vertex") == F.col("u"), F.col("v")).otherwise(F.col("u"))
+    roots = settled(lightest(edges).select(F.col("vertex").alias("component"), other.alias("root")))
     return smallest_names(roots.select(F.col("component").alias("vertex"), F.col("root").alias("component")))
