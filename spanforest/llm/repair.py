@@ -38,7 +38,7 @@ SHARD_TOKENS = 1 << 21
 #: How often a pair must occur to be replaced.
 LEAST = 8
 #: Compression leaves less time for tokenising: more text at once and more cached pieces than elsewhere.
-TEXT_BYTES, CACHE_PIECES = 4 << 20, 1_200_000
+TEXT_BYTES, CACHE_PIECES = 4 << 20, 2_800_000
 
 
 class _Pairs:
@@ -159,7 +159,7 @@ class _Pairs:
         lost = np.concatenate(lost)
         lost = lost[lost >= 0]
         lost = lost[~self.twin[lost]]
-        if len(lost) * 8 > self.known:
+        if len(lost) * 40 > self.known:
             self.often[: self.known] -= np.bincount(lost, minlength=self.known).astype(np.int32)
         else:
             np.subtract.at(self.often, lost.astype(np.intp), 1)
@@ -273,20 +273,15 @@ class Shard:
         """The ids of all documents, in their order."""
         if not len(self.rules):
             return self.symbols.astype(np.uint32)
-        if int(self.size.sum()) > 4 * int(self.counts.sum()):  # long rules made of long rules: the table would be larger than the text
+        if self.base + int(self.size.sum()) > 4 * int(self.counts.sum()):  # few ids, or long rules made of long rules: the table would be larger than the text
             return _expand(self.symbols, self.rules, self.base)
-        # What each rule stands for, all rules in a row; an id stands for itself.
-        flat = _expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32), self.rules, self.base)
-        begin = np.cumsum(self.size) - self.size
-        ruled = self.symbols >= self.base
-        rule = self.symbols[ruled].astype(np.int64) - self.base
-        size = self.size[rule]
-        many = np.ones(len(self.symbols), np.int64)
-        many[ruled] = size
-        out = np.repeat(self.symbols.astype(np.uint32), many)
-        ends = np.cumsum(size)
-        out[np.repeat(ruled, many)] = flat[np.repeat(begin[rule] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return out
+        # What each symbol stands for, all symbols in a row: an id for itself, then the rules.
+        flat = np.concatenate([np.arange(self.base, dtype=np.uint32), _expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32), self.rules, self.base)])
+        sizes = np.concatenate([np.ones(self.base, np.int64), self.size])
+        size = sizes[self.symbols]
+        source = np.repeat((np.cumsum(sizes) - sizes)[self.symbols] - (np.cumsum(size) - size), size)
+        source += np.arange(len(source))
+        return flat[source]
 
     def document(self, i: int) -> np.ndarray:
         at = int(self.per[:i].sum())

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 
 from .common import CLEARED, binary
 
-#: Distinct pieces kept by one Python worker, about 230 bytes each; above it the cache starts anew.
+#: Distinct pieces kept by one Python worker, 90 bytes each, or 230 if longer than 15 bytes; above it the cache starts anew.
 CACHE_PIECES = 500_000
 #: Bytes of texts that are encoded in one call.
 TEXT_BYTES = 2 << 20
@@ -36,6 +36,8 @@ _UNSAFE = re.compile(r" (?:\s|᠎|\Z)")
 _CONTROL = re.compile(r"[\t\x0b-\x1f]")
 #: Latin letters (ASCII, Latin-1, Latin Extended A and B), and the ASCII marks that can follow without an apostrophe among them.
 _WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: The same marks.
+_IS_MARK = np.array([33 <= b < 127 and b != 39 and not chr(b).isalnum() for b in range(256)])
 _CUT = re.compile(r"(?= [^\s᠎])")
 
 
@@ -50,6 +52,65 @@ def _bare(piece: str) -> bool:
     return bool(piece) and "\n" not in piece and not piece[0].isspace() and not piece[-1].isspace()
 
 
+class _Table:
+    """Numbers of byte strings of at most 15 bytes, each kept whole: its bytes, its length and its kind in two words."""
+
+    MOST = 15
+    #: The low bytes of a word.
+    _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.used = bits, 0
+        # Two words and a number from 1 on, 0 where the row is free; of 32 bytes, so that a row is in one cache line.
+        self.rows = np.zeros((1 << bits, 4), np.uint64)
+
+    @classmethod
+    def keys(cls, offsets: np.ndarray, data: np.ndarray, kind: int) -> np.ndarray:
+        """The two words of each string; those of longer ones mean nothing."""
+        size = np.minimum(np.diff(offsets), cls.MOST)
+        wide = np.concatenate([data, np.zeros(16, np.uint8)])
+        word = np.ndarray(len(data) + 9, "<u8", wide, strides=(1,))
+        key = np.empty((len(size), 2), np.uint64)
+        key[:, 0] = word[offsets[:-1]] & cls._LOW[np.minimum(size, 8)]
+        key[:, 1] = word[np.minimum(offsets[:-1] + 8, len(data) + 8)] & cls._LOW[np.maximum(size - 8, 0)] | (size + 16 * kind).astype(np.uint64) << np.uint64(56)
+        return key
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        mixed = key[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ key[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.intp)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """The number of each string, -1 if it has none."""
+        out = np.full(len(key), -1, np.int64)
+        at, slot = np.arange(len(key)), self._slots(key)
+        while len(at):
+            row = self.rows[slot]
+            taken = row[:, 2] > 0
+            same = taken & (row[:, 0] == key[:, 0]) & (row[:, 1] == key[:, 1])
+            out[at[same]] = row[same, 2].astype(np.int64) - 1
+            on = np.flatnonzero(taken & ~same)
+            at, key, slot = at[on], key[on], (slot[on] + 1) & (len(self.rows) - 1)
+        return out
+
+    def put(self, key: np.ndarray, numbers: np.ndarray) -> None:
+        """Adds different strings that are not there."""
+        if self.used + len(key) > 0.7 * len(self.rows):
+            old = self.rows[self.rows[:, 2] > 0]
+            while self.used + len(key) > 0.7 * (1 << self.bits):
+                self.bits += 1
+            self.rows, self.used = np.zeros((1 << self.bits, 4), np.uint64), 0
+            self.put(old[:, :2], old[:, 2].astype(np.int64) - 1)
+        self.used += len(key)
+        own, slot = numbers.astype(np.uint64) + np.uint64(1), self._slots(key)
+        while len(own):
+            free = np.flatnonzero(self.rows[slot, 2] == 0)
+            self.rows[slot[free], 2] = own[free]  # of several at one row the last has it
+            got = self.rows[slot, 2] == own
+            self.rows[slot[got], :2] = key[got]
+            own, key, slot = own[~got], key[~got], (slot[~got] + 1) & (len(self.rows) - 1)
+
+
 class PieceTokenizer:
     """Encodes lists of texts to one flat array of ids with each text's count.
 
@@ -82,12 +143,14 @@ class PieceTokenizer:
         self._clear()
 
     def _clear(self) -> None:
+        # Pieces as Arrow cuts them stand in the table; the others, and those too long for it, in these.
         self.plain: dict[str, int] = {}
         self.spaced: dict[str, int] = {}
+        self.table = _Table()
         self.ends: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
+        self.begin = np.zeros(1 << 16, np.int32)
+        self.count = np.zeros(1 << 16, np.int32)
         self.used = self.pieces = 0  # ids that are kept, and pieces
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,26 +181,52 @@ class PieceTokenizer:
         known.update(own)
         return found, list(own), numbers
 
-    def _words(self, known: dict[str, int], new: list[str], numbers: range, lead: str) -> tuple[list[str], list[int]]:
+    def _tabled(self, known: dict[str, int], pieces: pa.Array, lead: str) -> tuple[np.ndarray, list[str], list[int]]:
+        """The same for different pieces in an Arrow array, by the table."""
+        offsets, data = binary(pieces)
+        key = self.table.keys(offsets, data, 1 if lead else 0)
+        found = self.table.get(key)
+        long = np.diff(offsets) > self.table.MOST
+        missing = np.flatnonzero((found < 0) & ~long)
+        found[missing] = np.arange(self.pieces, self.pieces + len(missing))
+        self.pieces += len(missing)
+        self.table.put(key[missing], found[missing])
+        new, numbers = pieces.take(pa.array(missing)).to_pylist(), found[missing].tolist()
+        if long.any():
+            found[long], more, more_at = self._numbered(known, pieces.filter(pa.array(long)).to_pylist())
+            new += more
+            numbers += more_at
+        return found, new, numbers
+
+    def _words(self, known: dict[str, int], new: list[str], numbers: range | list[int], lead: str) -> tuple[list[str], list[int]]:
         """Encodes the new pieces that are letters, or letters and marks; returns the others and their numbers."""
+        if not new:
+            return [], []
+        # Of pieces in ASCII: letters up to `first`, and nothing but marks from there on.
+        offsets, data = binary(pa.array(new, pa.string()))
+        begin, end = offsets[:-1], offsets[1:]
+        letter = (data | np.uint8(32)) - np.uint8(97) < 26
+        first = np.append(np.flatnonzero(~letter), len(data))
+        first = np.minimum(first[np.searchsorted(first, begin)], end)
+        mark = np.concatenate([[0], np.cumsum(_IS_MARK[data])])
+        size = np.where((first > begin) & (mark[end] - mark[first] == end - first), first - begin, 0)
         bare, bare_at, marked_at, stems, after, others, others_at = [], [], [], [], [], [], []
-        for p, number in zip(new, numbers, strict=True):
-            if p.isascii() and p.isalpha():
+        for p, number, letters in zip(new, numbers, size.tolist(), strict=True):
+            if not letters and not p.isascii() and (word := _WORD.fullmatch(p)):
+                letters = word.end(1)
+            if letters == len(p):
                 bare.append(p)
                 bare_at.append(number)
-            elif word := _WORD.fullmatch(p):
-                letters, marks = word.groups()
-                if marks:
-                    marked_at.append(number)
-                    stems.append(letters)
-                    after.append(marks)
-                else:
-                    bare.append(p)
-                    bare_at.append(number)
+            elif letters:
+                marked_at.append(number)
+                stems.append(p[:letters])
+                after.append(p[letters:])
             else:
                 others.append(p)
                 others_at.append(number)
-        stems, more, more_at = self._numbered(known, stems)
+        cut = pa.array(stems, pa.string()).dictionary_encode()
+        stem_at, more, more_at = self._tabled(known, cut.dictionary, lead)
+        stems = stem_at[cut.indices.to_numpy()]
         bare += more
         bare_at += more_at
         if bare:
@@ -164,6 +253,11 @@ class PieceTokenizer:
 
     def _numbers(self, known: dict[str, int], pieces: list[str], lead: str) -> np.ndarray:
         found, new, number_of = self._numbered(known, pieces)
+        self._keep_new(known, new, number_of, lead)
+        return found
+
+    def _keep_new(self, known: dict[str, int], new: list[str], number_of: range | list[int], lead: str) -> None:
+        """Encodes pieces that have a number and nothing else."""
         if self.model is not None:
             new, number_of = self._words(known, new, number_of, lead)
         for i in range(0, len(new), _CALL):
@@ -192,7 +286,6 @@ class PieceTokenizer:
             if ids is None:
                 ids, counts = self._encode([lead + p for p in part])
             self._keep(numbers, ids, counts)
-        return found
 
     def _end(self, end_id: int) -> int:
         """The number of a piece that is the end id."""
@@ -293,15 +386,16 @@ class PieceTokenizer:
         pieces = pc.split_pattern(lines.flatten(), " ")
         sizes = np.diff(pieces.offsets.to_numpy())
         cut = pieces.flatten().dictionary_encode()
-        # No piece holds a space, so all come out in one string.
-        known, at = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(cut.dictionary)], pa.int32()), cut.dictionary), " ")[0].as_py().split(" "), cut.indices.to_numpy()
+        at = cut.indices.to_numpy()
         first = np.zeros(len(at), bool)
         first[np.cumsum(sizes) - sizes] = True
         found = []
         for own, kind, lead in ((at[first], self.plain, ""), (at[~first], self.spaced, " ")):
-            used = np.unique(own)
-            number = np.zeros(len(known), np.int64)
-            number[used] = self._numbers(kind, [known[i] for i in used.tolist()], lead)
+            number = np.zeros(len(cut.dictionary), np.int64)
+            number[own] = 1
+            used = np.flatnonzero(number)
+            number[used], new, number_of = self._tabled(kind, cut.dictionary.take(pa.array(used)), lead)
+            self._keep_new(kind, new, number_of, lead)
             found.append(number[own])
         index, size = self._in_line(sizes, np.diff(lines.offsets.to_numpy()), *found, end_id)
         if not plain.all():
@@ -316,27 +410,25 @@ class PieceTokenizer:
         return index, size
 
 
-#: ASCII white space, as str.isspace has it.
-_BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
-
-
 def _plainly_spaced(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Of each text, whether it has text in each line, white space neither at the lines' ends nor beside another blank; never for empty ones."""
     rows, size = len(offsets) - 1, np.diff(offsets)
-    opens, closes = _BLANK[data], _BLANK[data]
+    opens = (data - np.uint8(9) < 5) | (data - np.uint8(28) < 5)  # ASCII white space, as str.isspace has it
+    closes = opens
     lead = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
     if len(lead):  # white space outside ASCII, and the vowel separator that the cut takes for one
         wide = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int64)
         code = np.where(wide[lead] == 0xC2, (wide[lead] & 31) << 6 | wide[lead + 1] & 63, (wide[lead] & 15) << 12 | (wide[lead + 1] & 63) << 6 | wide[lead + 2] & 63)
         space = lead[np.isin(code, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+        closes = opens.copy()
         opens[space] = True
         closes[space + np.where(data[space] == 0xC2, 1, 2)] = True
     bad = np.zeros(len(data), bool)
     if len(data):
         bad[:-1] = ((data[:-1] == 32) | (data[:-1] == 10)) & opens[1:] | (data[1:] == 10) & closes[:-1]
-    total = np.concatenate([[0], np.cumsum(bad)])
     good = size > 0
-    good[good] = ~(opens[offsets[:-1][good]] | closes[offsets[1:][good] - 1] | (total[offsets[1:][good]] > total[offsets[:-1][good]]))
+    good[good] = ~(opens[offsets[:-1][good]] | closes[offsets[1:][good] - 1])
+    good[np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1] = False
     return good[:rows]
 
 

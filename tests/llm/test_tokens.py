@@ -7,7 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spanforest.llm import packing, repair
+from spanforest.llm import packing, repair, tokens
+from spanforest.llm.common import binary
 from spanforest.llm.tokens import PieceTokenizer, vocabulary
 
 TEXTS = ["", None, " ", "a", " lead", "tail ", "two  spaces", " \n x \n\n y", "<|endoftext|>", "é ü 　z", "it's we'll", "x" * 5000, "word " * 3000, "\x00\x1f ᠎"]
@@ -176,3 +177,32 @@ def test_repeated_rows_and_long_texts_in_shards(spark, tokenizer):
         at += r.n_tokens
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert order == [None, None, 5, 5, 5, 7, 7, 9]
+
+
+def test_table_of_pieces_is_exact():
+    """Strings that differ by a length, a last byte, a zero byte or their kind have numbers of their own, also while the table grows."""
+    texts = sorted({a + b + "\0" * z for a in ("", "a", "abcdefg", "abcdefgh", "abcdefghijklmn") for b in ("", "x", "é") for z in range(3)} | {f"w{i}" for i in range(70_000)})
+    texts = [t for t in texts if len(t.encode()) <= tokens._Table.MOST]
+    own, table = pa.array(texts), tokens._Table(4)
+    offsets, data = binary(own)
+    plain, spaced = (table.keys(offsets, data, kind) for kind in (0, 1))
+    assert (table.get(plain) == -1).all()
+    for at in range(0, len(texts), 999):
+        table.put(plain[at : at + 999], np.arange(at, min(at + 999, len(texts))))
+    assert (table.get(plain) == np.arange(len(texts))).all() and (table.get(spaced) == -1).all()
+    table.put(spaced, np.arange(len(texts)) + 10**6)
+    assert (table.get(plain) == np.arange(len(texts))).all() and (table.get(spaced) == np.arange(len(texts)) + 10**6).all()
+
+
+def test_pieces_of_a_column_are_no_python_strings():
+    """Only pieces too long for the table are kept as strings, and the ids are the library's at any length, mark and script."""
+    rng = random.Random(3)
+    letters = ["a", "Q", "z", "é", "Ж", "7", "'", ",", ")", "中", "_"]
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 24))) for _ in range(30)) for _ in range(60)]
+    own = tokens.PieceTokenizer(tokens.vocabulary())
+    for _ in range(2):
+        ids, counts = own.encode_column(pa.array(texts), 2)
+        want = [e.ids + [2] for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+    kept = [*own.plain, *own.spaced]
+    assert kept and all(len(p.encode()) > tokens._Table.MOST for p in kept) and own.table.used > 500
