@@ -72,10 +72,22 @@ def claim(operator: str) -> None:
     if _claimed not in ("", operator):
         for clear in CLEARED:
             clear()
+        give_back()
         trim()
     _claimed = operator
 
 
+def give_back() -> None:
+    """From now on freed arrays leave this process at once. By default glibc and Arrow
+    keep tens of MB, more after each larger array; that is faster, and is left to
+    workers that run one operator only."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which moves no more once it is set
+
+
 def trim() -> None:
     """Gives freed memory back, which glibc keeps otherwise."""
     gc.collect()

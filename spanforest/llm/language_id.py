@@ -210,7 +210,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not many:
         return fit([], [])
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame([(r.language, r.many) for r in many], "language string, many long"))
+    # Arrow tables: of a list Spark makes an RDD, for which each executor starts Python processes of their own kind that stay beside the operators'.
+    known = F.broadcast(spark.createDataFrame(pa.table({"language": [r.language for r in many], "many": [r.many for r in many]}, pa.schema([("language", pa.string()), ("many", pa.int64())]))))
     # Hashes are even over 64 bits: below this share of them lie about four times the rows wanted, however frequent the language is.
     share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
     low = rows.join(known, "language").filter(share * F.col("many") <= 4.0 * per_language).select("language", "h", F.octet_length("text").alias("size")).distinct()
@@ -221,11 +222,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         size = min(r.size, most)
         if used.get(r.language, 0) + size <= most:
             used[r.language] = used.get(r.language, 0) + size
-            chosen.append((r.language, r.h, r.size))
-    wanted = F.broadcast(spark.createDataFrame(chosen, "language string, h long, size long"))
+            chosen.append((r.language, r.h))
+    wanted = F.broadcast(spark.createDataFrame(pa.table({"language": [x for x, _ in chosen], "h": [h for _, h in chosen]}, pa.schema([("language", pa.string()), ("h", pa.int64())]))))
     # Characters, at most four bytes each: a longer row's beginning is no more than its language's part.
     text = F.when(F.octet_length("text") > most, F.substring("text", 1, max(1, most // 4))).otherwise(F.col("text")).alias("text")
-    taken = rows.join(wanted.drop("size"), ["language", "h"]).select("language", "h", text).groupBy("language", "h").agg(F.min("text").alias("text"))
+    taken = rows.join(wanted, ["language", "h"]).select("language", "h", text).groupBy("language", "h").agg(F.min("text").alias("text"))
     got = taken.filter(F.col("text").rlike("\\p{L}")).collect()
     got.sort(key=lambda r: (r.language, r.h))
     model = fit([r.text for r in got], [r.language for r in got])

@@ -58,6 +58,8 @@ from .words import Words, windows, words
 SHINGLE, SIMILAR = 5, 0.8
 #: Slots a band, and bands: a pair of similarity 0.8 shares no bucket once in 38,000 times.
 ROWS, BANDS = 4, 20
+#: Bytes of texts whose runs are hashed in one go: their arrays take some 60 times as much.
+TEXT_BYTES = 1 << 19
 
 
 def runs(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +156,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, rows: int = ROWS, ba
         claim("near_dedup")
         for batch in batches:
             whole, bytes_ = binary(batch.column(1))
-            for at, to in blocks(whole):
+            for at, to in blocks(whole, TEXT_BYTES):
                 n = to - at
                 doc, hashes = runs(words(whole[at : to + 1] - whole[at], bytes_[whole[at] : whole[to]]))
                 size = np.bincount(doc, minlength=n)
@@ -186,7 +188,7 @@ def multisets(texts: DataFrame) -> DataFrame:
         claim("near_dedup")
         for batch in batches:
             whole, bytes_ = binary(batch.column(1))
-            for at, to in blocks(whole):
+            for at, to in blocks(whole, TEXT_BYTES):
                 doc, hashes = runs(words(whole[at : to + 1] - whole[at], bytes_[whole[at] : whole[to]]))
                 cut = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=to - at))])
                 same = _sums(hashes, cut, _SAME[0])

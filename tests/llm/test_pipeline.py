@@ -1,11 +1,15 @@
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import pytest
+from pyspark.rdd import RDD
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from spanforest.llm import language_id
 from spanforest.llm.common import written
 from spanforest.llm.tokens import PieceTokenizer, vocabulary
 
@@ -92,3 +96,33 @@ def test_null_ids_survive_with_their_columns(spark, tmp_path, name):
     assert out.columns == docs.columns
     got = sorted(r.kept for r in out.collect())
     assert got in ([1, 2], [1, 3]) if name == "exact_dedup" else got == [1, 2, 3, 4]
+
+
+def test_learning_starts_no_python_processes_on_executors(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i} in {lang}", lang) for i in range(40) for lang in ("en", "de")], "doc_id long, text string, lang string").cache()
+    docs.count()
+    monkeypatch.setattr(RDD, "_to_java_object_rdd", lambda self: pytest.fail("a list goes through Python workers"))
+    assert language_id.learn(docs).languages == ["de", "en"]
+
+
+MEMORY = """
+import re
+import numpy as np, pyarrow as pa
+from spanforest.llm.common import claim
+def now():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+claim("language_id")
+claim("near_dedup")
+np.ones(3 << 20)  # of 24 MB; glibc takes smaller ones for its heap from now on
+before = now()
+arrays = [np.ones(1 << 18) for _ in range(20)]  # of 2 MB
+between = now()
+del arrays
+print(before, between, now(), pa.default_memory_pool().backend_name)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_a_worker_of_several_stages_gives_freed_arrays_back():
+    before, between, after, pool = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True).stdout.split()
+    assert float(between) - float(before) > 35 and float(after) - float(before) < 10 and pool == "system"
