@@ -272,23 +272,23 @@ def differences(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 def shared_differences(differ: DataFrame) -> DataFrame:
     """The rows a, d, b that must be looked at: members b that have difference d from reference a among their rarest ones."""
     # Written, so that its size is known before the join is planned: small, it is sent to the members, and they stay where they are.
-    apart = written(differ.filter("long > 0").select("a").distinct(), "apart")
+    apart = written(differ.filter("long > 0").select("a").distinct(), "apart", small=True)
     each = differ.join(apart, "a", "left_semi").withColumn("many", F.size("differs")).withColumn("d", F.explode("differs")).drop("differs")
     # A difference of one member alone can't be shared: it is only counted.
-    common = written(each.groupBy("a", "d").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+    common = written(each.groupBy("a", "d").agg(F.count("*").alias("n")).filter("n > 1"), "common", small=True)
     line = Window.partitionBy("a", "b").orderBy("n", "d")
     whole = Window.partitionBy("a", "b")
     place = F.col("many") - F.count("*").over(whole) + F.row_number().over(line)
     ranked = each.join(common, ["a", "d"]).withColumn("place", place).filter(F.col("place") <= F.greatest("short", "long"))
-    return written(ranked.drop("n"), "shared-differences")
+    return written(ranked.drop("n"), "shared-differences", small=True)
 
 
 def candidates(ranked: DataFrame, labels: DataFrame, similar: float) -> DataFrame:
     """Pairs (a, b) of different components (labels: b, of) that share enough of their rarest differences from one reference to be similar at all."""
     p, q = Fraction(str(similar)).as_integer_ratio()
     named = ranked.join(labels, "b")
-    mixed = written(named.groupBy("a", "d").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("a", "d"), "mixed-differences")
-    named = written(named.join(mixed, ["a", "d"], "left_semi"), "mixed-members")
+    mixed = written(named.groupBy("a", "d").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("a", "d"), "mixed-differences", small=True)
+    named = written(named.join(mixed, ["a", "d"], "left_semi"), "mixed-members", small=True)
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("b", "of", "weight", "many", "similarity")]
     met = named.filter("place <= long").select("a", "d", "spare", *side("x")).join(named.filter("place <= short").select("a", "d", *side("y")), ["a", "d"])
     enough = F.col("weight_x") + F.col("weight_y") - F.col("spare") <= (p + q) * F.least("many_x", "many_y")
@@ -297,7 +297,7 @@ def candidates(ranked: DataFrame, labels: DataFrame, similar: float) -> DataFram
 
 
 def _labelled(links: DataFrame, needed: DataFrame) -> DataFrame:
-    return written(connected_components(links, needed, u="a", v="b").select(F.col("vertex").alias("b"), F.col("component").alias("of")), "near-labels")
+    return written(connected_components(links, needed, u="a", v="b").select(F.col("vertex").alias("b"), F.col("component").alias("of")), "near-labels", small=True)
 
 
 def _stars(ranked: DataFrame, rank: DataFrame, links: DataFrame, labels: DataFrame, needed: DataFrame, sets: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
@@ -306,10 +306,10 @@ def _stars(ranked: DataFrame, rank: DataFrame, links: DataFrame, labels: DataFra
     while True:
         now = rest.join(labels, "b")
         center = now.groupBy("a", "d").agg(F.max(F.struct("rank", "of")).alias("lead"), F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high")
-        center = written(center.select("a", "d", F.col("lead.rank").alias("lead"), F.col("lead.of").alias("lead_of")), "centers")
-        rest = written(now.join(center, ["a", "d"]).filter("of <> lead_of").drop("of", "lead_of"), "apart")
+        center = written(center.select("a", "d", F.col("lead.rank").alias("lead"), F.col("lead.of").alias("lead_of")), "centers", small=True)
+        rest = written(now.join(center, ["a", "d"]).filter("of <> lead_of").drop("of", "lead_of"), "apart", small=True)
         star = rest.groupBy("b").agg(F.max("lead").alias("lead")).select(F.col("lead.b").alias("a"), "b")
-        found = written(verified(star, sets, similar), "near-links")
+        found = written(verified(star, sets, similar), "near-links", small=True)
         if found.isEmpty():
             return links, labels
         links = links.unionByName(found)
@@ -342,32 +342,32 @@ def _told(docs: DataFrame, id_col: str, text_col: str, similar: float, rows: int
     same = ["same0", "same1", "size"]
     classes = named.filter("size > 0").groupBy(*same).agg(F.min("id").alias("first_id"))
     own = Window.partitionBy("first_id").orderBy(*same)
-    classes = written(classes.withColumn("node", F.when(F.row_number().over(own) == 1, F.col("first_id"))), "classes")
+    classes = written(classes.withColumn("node", F.when(F.row_number().over(own) == 1, F.col("first_id"))), "classes", small=True)
     nodes = classes.filter("node is not null").select(F.col("node").alias("id"), *same)
     firsts = named.select("id", *same, "bands").join(nodes, ["id", *same], "left_semi")
-    keyed = written(firsts.select("id", F.explode("bands").alias("key")).distinct(), "bands")
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    placed = written(keyed.join(shared, "key").select("key", "id", "n"), "buckets")
+    keyed = written(firsts.select("id", F.explode("bands").alias("key")).distinct(), "bands", small=True)
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared", small=True)
+    placed = written(keyed.join(shared, "key").select("key", "id", "n"), "buckets", small=True)
     # Popularity, and beside it the smaller id as the larger number.
-    rank = written(placed.groupBy("id").agg(F.sum("n").alias("popular")), "popularity")
+    rank = written(placed.groupBy("id").agg(F.sum("n").alias("popular")), "popularity", small=True)
     placed = placed.select("key", "id").join(rank, "id").select("key", "id", F.struct("popular", (-F.col("id")).alias("low"), "id").alias("rank"))
     needed = rank.select("id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
     # Of rows with the same id, one of the content that is compared.
     sets = written(multisets(texts).join(nodes, ["id", "same0"], "left_semi").groupBy("id").agg(F.first("runs").alias("runs")), "multisets")
 
-    center = written(placed.groupBy("key").agg(F.max("rank").alias("center")), "centers")
+    center = written(placed.groupBy("key").agg(F.max("rank").alias("center")), "centers", small=True)
     star = placed.select("key", "id").join(center, "key").groupBy("id").agg(F.max("center").alias("center")).select(F.col("center.id").alias("a"), F.col("id").alias("b")).filter("a <> b")
-    links = written(verified(star, sets, similar), "near-links")
+    links = written(verified(star, sets, similar), "near-links", small=True)
     labels = connected_components(links, needed, u="a", v="b").select(F.col("vertex").alias("id"), F.col("component").alias("of"))
-    labels = written(labels, "near-labels")
+    labels = written(labels, "near-labels", small=True)
 
     at = placed.join(labels, "id")
-    mixed = written(at.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("key"), "mixed-buckets")
-    at = written(at.join(mixed, "key", "left_semi"), "mixed")
+    mixed = written(at.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("key"), "mixed-buckets", small=True)
+    at = written(at.join(mixed, "key", "left_semi"), "mixed", small=True)
     leader = at.select("of", "rank").distinct().groupBy("of").agg(F.max("rank").alias("lead"))
     reference = at.select("key", "of").distinct().join(leader, "of").groupBy("key").agg(F.max("lead").alias("lead")).select("key", F.col("lead.id").alias("a"))
-    reference = written(reference, "references")
+    reference = written(reference, "references", small=True)
     against = at.select("key", F.col("id").alias("b")).join(reference, "key").filter("a <> b").select("a", "b").distinct()
     differ = written(differences(against, sets, similar), "differences")
     links = links.unionByName(differ.filter("long = 0").select("a", "b", "similarity"))
@@ -375,13 +375,13 @@ def _told(docs: DataFrame, id_col: str, text_col: str, similar: float, rows: int
     ranked = shared_differences(differ)
     if not ranked.isEmpty():
         links, labels = _stars(ranked, rank, links, labels, needed, sets, similar)
-        across = written(verified(candidates(ranked, labels, similar), sets, similar), "near-links")
+        across = written(verified(candidates(ranked, labels, similar), sets, similar), "near-links", small=True)
         labels = _labelled(links.unionByName(across), needed)
 
-    groups = written(classes.join(labels, F.col("node") == F.col("b"), "left").select(*same, F.coalesce("of", "first_id").alias("group_id")), "near-groups")
+    groups = written(classes.join(labels, F.col("node") == F.col("b"), "left").select(*same, F.coalesce("of", "first_id").alias("group_id")), "near-groups", small=True)
     told = named.select("id", "text_hash", *same).join(groups, same, "left").select("id", "text_hash", F.coalesce("group_id", "id").alias("group_id"))
-    told = written(told.unionByName(signed.filter("id is null").select("id", "text_hash", F.col("id").alias("group_id"))), "near-rows")
-    sizes = written(told.filter("id is not null").select("id", "group_id").distinct().groupBy("group_id").agg(F.count("*").alias("group_size")), "group-sizes")
+    told = written(told.unionByName(signed.filter("id is null").select("id", "text_hash", F.col("id").alias("group_id"))), "near-rows", small=True)
+    sizes = written(told.filter("id is not null").select("id", "group_id").distinct().groupBy("group_id").agg(F.count("*").alias("group_size")), "group-sizes", small=True)
     return told, sizes
 
 

@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, *,
     """
     links = edges.filter(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
     alone = links.filter("u = v").select(F.col("u").alias("vertex"), F.col("u").alias("component"))
-    current = written(links.filter("u <> v").distinct(), "links")
+    current = written(links.filter("u <> v").distinct(), "links", small=True)
     seen = _stamp(current)
     while seen[0] > finish_edges:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -39,10 +39,22 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return path
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def gathered(df: DataFrame) -> DataFrame:
+    """Small rows, dealt evenly to a few partitions where Spark doesn't join small
+    ones itself. Each would be a file else, for which Hadoop's local file system
+    starts three processes out of the executor's."""
+    spark = df.sparkSession
+    on = [spark.conf.get(f"spark.sql.adaptive.{x}", "true").lower() for x in ("enabled", "coalescePartitions.enabled")]
+    few = 2 * spark.sparkContext.defaultParallelism
+    return df if on == ["true", "true"] or int(spark.conf.get("spark.sql.shuffle.partitions")) <= few else df.repartition(few)
+
+
+def written(df: DataFrame, what: str, *, small: bool = False) -> DataFrame:
     """The rows, written once to the shared folder and read from there: a lost
-    executor costs a reread, and plans don't grow with the rounds."""
+    executor costs a reread, and plans don't grow with the rounds. `small`: rows of
+    a few numbers, which are gathered first."""
     spark = df.sparkSession
+    df = gathered(df) if small else df
     path = new_folder(spark, what)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)

@@ -173,3 +173,29 @@ def test_overlap_counts_occurrences():
             d, e, c = nd.counted(doc, h)
             bags = [dict(zip(e[d == k].tolist(), c[d == k].tolist(), strict=True)) for k in (0, 1)]
             assert jaccard(*bags) == pytest.approx(jaccard(multiset(x), multiset(y)))
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(60)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, " ".join(changed(rng, t.split(" "), 1))) for i, t in enumerate(texts * 3)]
+    files, plain = {}, nd.written
+
+    def counted(df, what, **more):
+        table = plain(df, what, **more)
+        files[what] = max(files.get(what, 0), len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(nd, "written", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.group_id for r in got} == brute_groups(rows)
+    few = 2 * spark.sparkContext.defaultParallelism
+    assert few < 64 and {k: n for k, n in files.items() if n > few and k not in ("multisets", "differences")} == {}
